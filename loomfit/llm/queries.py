@@ -38,3 +38,59 @@ select doc_id, size, source_size, target, taken, case when taken > 0 then round(
 
 QUERIES = {"op1_mixing": op1_mixing}
 ORACLES = {"op1_mixing": OP1_SQL}
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), k=4)
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import drop_repeats
+
+    return drop_repeats(read(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_lines
+
+    out = drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from l),
+c as (select k, max(doc_id) as last from k where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+j as (select k.*, c.last is not null and k.doc_id < c.last as gone from k left join c using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from j group by doc_id
+"""
+
+#: Every shared shingle is a link's witness, so pairs are joined on shingles (exact, quadratic).
+OP4_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+h as (select s.doc_id, hash(s.s) as s, n.n from s join n using (doc_id)),
+p as (select a.doc_id as a, b.doc_id as b from h a join h b on a.s = b.s and a.doc_id < b.doc_id and least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select a, b from p union select b, a from p),
+r as (select doc_id as id, doc_id as c from w union select e.b, r.c from r join e on e.a = r.id),
+m as (select id, min(c) as c from r group by id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, m.c = w.doc_id as kept from w left join n using (doc_id) join m on m.id = w.doc_id
+"""
+
+OP5_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, greatest(len(w) - 48, 1))) as p, w from w),
+h as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as h from p),
+m as (select h, min(doc_id) as lo from h group by h having min(doc_id) < max(doc_id)),
+g as (select distinct doc_id, unnest(range(p, p + 50)) as i from h join m using (h) where doc_id > lo),
+x as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as i from w),
+k as (select x.doc_id, count(*) as n, count(g.i) as gone, string_agg(x.t, ' ' order by x.i) filter (g.i is null) as kept from x left join g on x.doc_id = g.doc_id and x.i = g.i group by x.doc_id)
+select w.doc_id, coalesce(n, 0) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)
+"""
+
+QUERIES |= {"op4_near_duplicates": op4_near_duplicates, "op5_substrings": op5_substrings, "op9_lines": op9_lines}
+ORACLES |= {"op4_near_duplicates": OP4_SQL, "op5_substrings": OP5_SQL, "op9_lines": OP9_SQL}
