@@ -94,3 +94,20 @@ select w.doc_id, coalesce(n, 0) as n_words, coalesce(gone, 0) as n_removed, sha2
 
 QUERIES |= {"op4_near_duplicates": op4_near_duplicates, "op5_substrings": op5_substrings, "op9_lines": op9_lines}
 ORACLES |= {"op4_near_duplicates": OP4_SQL, "op5_substrings": OP5_SQL, "op9_lines": OP9_SQL}
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_documents
+
+    out = encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES |= {"op3_bpe": op3_bpe}
