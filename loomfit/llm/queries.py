@@ -111,3 +111,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_bpe": op3_bpe}
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import telephony
+
+    return telephony(read(spark, sf_dir, "documents"), keep=False)
+
+
+QUERIES |= {"op6_quality": op6_quality, "op7_telephony": op7_telephony}
