@@ -126,3 +126,18 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_quality": op6_quality, "op7_telephony": op7_telephony}
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op2_nearest": op2_nearest, "op10_toxicity": op10_toxicity}
