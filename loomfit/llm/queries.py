@@ -141,3 +141,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_nearest": op2_nearest, "op10_toxicity": op10_toxicity}
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op8_lm_scores": op8_lm_scores}
