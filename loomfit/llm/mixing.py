@@ -61,9 +61,9 @@ def source_targets(stats: DataFrame, weights: Sequence[float], max_epochs: int)
     return ranked.select("source", "rank", F.coalesce(F.least("cap", F.col("w") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, curriculum=CURRICULUM) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, curriculum=CURRICULUM, carry: Sequence[str] = ()) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken,
-    positions (training time of each pass over it).
+    positions (training time of each pass over it), then the columns to carry.
 
     A source's documents stand in hash order; its target takes whole passes over
     them and a part of one more, so words taken differ from the target by less
@@ -72,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     """
     n = 2 * parallelism(docs.sparkSession)
     # {"size": words}: the only pass over texts; everything below moves a few numbers a document
-    sized = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size")), "sizes")
+    sized = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), *carry), "sizes")
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = sized.withColumn("h", hashed).withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n, 32))
     stats = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
         return out
 
     positions = F.when((F.col("taken") > 0) & (takes > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(takes - 1, F.lit(0))), at))
-    return both.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"), *carry)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
