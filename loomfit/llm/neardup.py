@@ -5,9 +5,13 @@
 2. Bands of the signature are buckets. Every bucket compares its members with
    one of them (a star), which joins most of a large group of near copies with
    a number of pairs that is linear in the group.
-3. Pairs in one bucket that are still in different components are compared in
-   bounded blocks; pairs already joined need no comparison.
-4. Comparing reads the signature in batches and drops a pair as soon as its
+3. Twice more every bucket compares those not yet joined with its hub, the member
+   that has most links: copies of one original differ more from each other than
+   from it, and the original is the hub.
+4. Pairs in one bucket that are still in different components are compared in
+   bounded blocks, in the first band they share; pairs already joined need no
+   comparison.
+5. Comparing reads the signature in batches and drops a pair as soon as its
    posterior chance of reaching the threshold is under ``miss``; every pair
    that survives is confirmed on the full shingle sets.
 
@@ -133,7 +137,7 @@ def _cells(threshold: float, miss: float):
     with every target row of another component."""
     steps = least_matches(threshold, miss)
 
-    def cell(q, t):
+    def cell(q, t, band):
         qs, ts = _matrix(q["sig"], "<u4", HASHES), _matrix(t["sig"], "<u4", HASHES)
         qi, ti, qc, tc = (np.asarray(x) for x in (q["rep"], t["rep"], q["comp"], t["comp"]))
         # a residual pair is compared once; a pair with the majority always
@@ -144,6 +148,8 @@ def _cells(threshold: float, miss: float):
             js = np.flatnonzero(want[i])
             js = js[(ts[js, :n] == qs[i, :n]).sum(1) >= least]
             js = js[likely(ts[js], np.broadcast_to(qs[i], (len(js), HASHES)), steps)]
+            shared = (ts[js] == qs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            js = js[shared == band]
             out_a.append(np.minimum(qi[i], ti[js]))
             out_b.append(np.maximum(qi[i], ti[js]))
         return out_a, out_b
@@ -166,7 +172,7 @@ def _cells(threshold: float, miss: float):
                     for s in side:
                         s["major"] = np.asarray(s["major"].to_numpy(zero_copy_only=False), bool)
                         s["rep"], s["comp"] = s["rep"].to_numpy(), s["comp"].to_numpy()
-                    x, y = cell(*side)
+                    x, y = cell(*side, part.column("band")[0].as_py())
                     a_out += x
                     b_out += y
             last = table.slice(bounds[-1])
@@ -205,33 +211,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
     same = written(own.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same")
 
-    bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)]))
-    banded = classes.select("rep", bands.alias("key"))
+    bands = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)]))
+    banded = classes.select("rep", bands.alias("band", "key"))
     stars = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "rep").alias("o"), "rep")).alias("c")).where("n > 1")
     members = written(banded.join(stars.select("key", F.col("c.rep").alias("center")), "key"), "members")
     pairs = members.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"), "rep").groupBy("a", "b").agg(F.min("rep").alias("rep"))
     sigs = classes.select("rep", "sig")
-    signed_pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    close = written(signed_pairs.select("a", "b", "sa", "sb").mapInArrow(_prune(t, miss), "a long, b long, m long"), "close")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(a, b, m): pairs that survive pruning and their equal hashes."""
+        both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+        return written(both.select("a", "b", "sa", "sb").mapInArrow(_prune(t, miss), "a long, b long, m long"), "close")
+
+    def ends(pairs: DataFrame, *more: str) -> DataFrame:
+        return pairs.select(F.col("a").alias("x"), "a", "b", *more).union(pairs.select(F.col("b").alias("x"), "a", "b", *more))
+
     # each document first tries its likeliest partner only
-    ends = close.select(F.col("a").alias("x"), "a", "b", "m").union(close.select(F.col("b").alias("x"), "a", "b", "m"))
-    best = ends.groupBy("x").agg(F.max(F.struct("m", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("p"))
-    best = written(best.select((-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b")).distinct(), "best")
-    links = _verified(best, docs, classes, k, percent).union(same)
-    found = components(links)
+    likeliest = ends(alike(pairs.select("a", "b")), "m").groupBy("x").agg(F.max(F.struct("m", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("p"))
+    tried = written(likeliest.select((-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b")).distinct(), "tried")
+    sure = _verified(tried, docs, classes, k, percent)
+    found = components(sure.union(same))
+    for _ in range(2):
+        degree = ends(sure).groupBy(F.col("x").alias("rep")).agg(F.count("*").alias("d"))
+        held = members.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").join(degree, "rep", "left")
+        held = written(held.select("key", "rep", F.coalesce("component_id", "rep").alias("comp"), F.coalesce("d", F.lit(0)).alias("d")), "held")
+        hub = held.groupBy("key").agg(F.max(F.struct("d", (-F.col("rep")).alias("nr"), "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and h.d > 0")
+        rays = held.join(hub.select("key", (-F.col("h.nr")).alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
+        rays = rays.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        new = written(alike(rays).select("a", "b"), "rays")
+        tried = tried.union(new)
+        sure = sure.union(_verified(new, docs, classes, k, percent))
+        found = components(sure.union(same))
 
     # what one bucket holds but no link has joined yet
-    held = members.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("comp"))
+    held = members.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("key", "band", "rep", F.coalesce("component_id", "rep").alias("comp"))
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
     open_ = written(held.join(sizes.select("key", F.col("n").alias("rows"), (F.col("n") - F.col("top.n")).alias("left"), F.col("top.comp").alias("top")), "key"), "open")
     open_ = open_.join(sigs, "rep").withColumn("major", F.col("comp") == F.col("top"))
     nq, nt = F.ceil(F.col("left") / block).cast("int"), F.ceil(F.col("rows") / (4 * block)).cast("int")
-    row = ("key", "rep", "comp", "major", "sig")
+    row = ("key", "band", "rep", "comp", "major", "sig")
     asks = open_.where("not major").select(*row, F.pmod(F.xxhash64("rep"), nq).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), nt - 1)).alias("tb"), F.lit(True).alias("query"))
     targets = open_.select(*row, F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"), F.pmod(F.xxhash64("rep"), nt).cast("int").alias("tb"), F.lit(False).alias("query"))
     cells = asks.unionByName(targets).repartition("key", "qb", "tb").sortWithinPartitions("key", "qb", "tb")
-    more = written(cells.mapInArrow(_cells(t, miss), "a long, b long").distinct(), "more").join(best, ["a", "b"], "left_anti")
+    more = written(cells.mapInArrow(_cells(t, miss), "a long, b long").distinct(), "more").join(tried, ["a", "b"], "left_anti")
     links = _verified(written(more, "cross"), docs, classes, k, percent).union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
     found = components(links)
 
