@@ -218,12 +218,11 @@ def fit_groups(df: DataFrame, keys: Sequence[str], x, y, degree: int, family: st
     if not mm.has_moments(fam) or fam.kind == "fourier":
         raise NoModel(f"{fam.name} can't be fitted by group")
     pts = points(df, x, y, keys)
-    ranges = pts.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    same = [pts[k].eqNullSafe(ranges[k]) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    rows = pts.join(ranges, cond).select(*[pts[k] for k in keys], "_x", "_y", "_lo", "_hi")
+    ranges = pts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = pts.join(ranges, same).select(*keys, "_x", "_y", "_lo", "_hi")
     sums = mm.moment_sums(rows, fam, degree, F.col("_lo"), F.col("_hi"), [*keys, "_lo", "_hi"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
 
@@ -258,12 +257,11 @@ def fit_groups(df: DataFrame, keys: Sequence[str], x, y, degree: int, family: st
 def predict_groups(df: DataFrame, models: DataFrame, keys: Sequence[str], x, family: str | Basis = "chebyshev", into: str = "y_fit") -> DataFrame:
     """Joins the groups' models and evaluates each by Horner's rule in the JVM."""
     small = models.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "power", "scale", "shift", F.col("x_min").alias("_lo"))
-    cond = None
+    cond = F.lit(True)
     for k in keys:
-        c = df[k].eqNullSafe(small[f"_k_{k}"])
-        cond = c if cond is None else cond & c
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     xd = (F.col(x) if isinstance(x, str) else x).cast("double")
     t = F.log(xd - F.col("_lo") + 1.0) if basis(family).kind == "log" else xd * F.col("scale") + F.col("shift")
     value = F.aggregate(F.reverse("power"), F.lit(0.0), lambda acc, c: acc * F.col("_t") + c)
     both = df.join(small, cond, "left").withColumn("_t", t)
-    return both.select(*[df[c] for c in df.columns], F.when(F.col("power").isNotNull(), value).alias(into))
+    return both.select(*df.columns, F.when(F.col("power").isNotNull(), value).alias(into))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import FitError
+from ..plans.bases import PolynomialBasis, basis
 from ..plans.display import equation
+from ..plans.model import Curve
+from . import moments as mm
 from . import stats
-from .fit import fit_auto
+from .fit import Fit, fit_auto
 from .points import points
 from .scores import Score, score_of
 
@@ -21,19 +24,37 @@ SCHEMA = "rank int, basis string, degree int, parameters int, score double, weig
 
 def rank_bases(df: DataFrame, x, y, families: Sequence[str] = FAMILIES, bound: str | int = "relaxed", score: Score | str = "aic") -> DataFrame:
     """One row a family that could be fitted, best score first. weight: Akaike's;
-    rating: fit quality over relative size; stars: rating from 0.3..1 to 0..5."""
+    rating: fit quality over relative size; stars: rating from 0.3..1 to 0..5.
+
+    Families of polynomials span the same functions, so they share one fit, its
+    score and its measures; only coefficients differ."""
     method, got = score_of(score), []
+    shared: tuple[Fit, tuple] | None = None
     pts = points(df, x, y).persist()
     try:
         for name in families:
+            polynomial = isinstance(basis(name), PolynomialBasis)
             try:
-                f = fit_auto(pts, "_x", "_y", bound, method, name)
+                if polynomial and shared:
+                    f, measures = shared
+                    lo, hi = f.curve.x_range
+                    curve = Curve(name, tuple(mm.change_of_basis(basis(name), f.k, lo, hi) @ f.curve.coefs), lo, hi)
+                    got.append((name, curve, *measures))
+                    continue
+                f = fit_auto(pts, "_x", "_y", bound, method, "chebyshev" if polynomial else name)
             except (FitError, ArithmeticError, ValueError):
                 continue
             value = f.curve.column(F.col("_x"))
             m = stats.residual_metrics(pts, F.col("_y"), value, f.k).first()
             robust = stats.robust_metrics(pts, F.col("_y") - value)
-            got.append((name, f, method.scores(pts, [f.curve], f.n)[0], m["r_squared"], robust["robust_r_squared"], m["normality"]))
+            measures = (method.scores(pts, [f.curve], f.n)[0], m["r_squared"], robust["robust_r_squared"], m["normality"])
+            curve = f.curve
+            if polynomial:
+                shared = f, measures
+                if name != "chebyshev":
+                    lo, hi = f.curve.x_range
+                    curve = Curve(name, tuple(mm.change_of_basis(basis(name), f.k, lo, hi) @ f.curve.coefs), lo, hi)
+            got.append((name, curve, *measures))
     finally:
         pts.unpersist()
     if not got:
@@ -42,9 +63,9 @@ def rank_bases(df: DataFrame, x, y, families: Sequence[str] = FAMILIES, bound: s
     best, least = got[0][2], min(r[1].k for r in got)
     weights = [math.exp(-(r[2] - best) / 2) if r[2] - best < 1400 else 0.0 for r in got]
     rows = []
-    for i, ((name, f, s, r2, rr2, p), w) in enumerate(zip(got, weights)):
+    for i, ((name, c, s, r2, rr2, p), w) in enumerate(zip(got, weights)):
         good = max(v for v in (r2, rr2, 0.0) if v is not None and not math.isnan(v))
-        rating = (0.75 * min(1.0, good) + 0.25 * min(1.0, max(0.0, p))) / (f.k / least)
+        rating = (0.75 * min(1.0, good) + 0.25 * min(1.0, max(0.0, p))) / (c.k / least)
         stars = min(5.0, max(0.0, (rating - 0.3) / 0.7 * 5))
-        rows.append((i + 1, name, f.degree, f.k, s, w / sum(weights), r2, rr2, p, rating, stars, equation(f.curve), f.curve.to_json()))
+        rows.append((i + 1, name, c.degree, c.k, s, w / sum(weights), r2, rr2, p, rating, stars, equation(c), c.to_json()))
     return df.sparkSession.createDataFrame(rows, SCHEMA)

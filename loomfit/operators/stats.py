@@ -119,9 +119,9 @@ def robust_metrics(df: DataFrame, r: Column) -> dict[str, float]:
 def folded_rmse(df: DataFrame, r: Column, fold: Column) -> DataFrame:
     """Mean and deviation of the errors over all rows but each fold's (one row)."""
     per = df.select(fold.alias("_f"), r.cast("double").alias("_r")).groupBy("_f").agg(F.sum(F.col("_r") * F.col("_r")).alias("s"), F.count("*").alias("n"))
-    every = per.agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
+    every = per.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     rest = per.crossJoin(every)  # one row on the right
-    rmse = F.sqrt(F.try_divide(F.col("S") - F.col("s"), F.col("N") - F.col("n")))
+    rmse = F.sqrt(F.try_divide(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")))
     return rest.select(rmse.alias("_v")).agg(F.avg("_v").alias("rmse_mean"), F.stddev_pop("_v").alias("rmse_stddev"))
 
 

@@ -26,10 +26,9 @@ def _with_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> tuple[Dat
         return df, {n: F.lit(row[n]).cast("double") for n in aggs}
     got = df.groupBy(*keys).agg(*[c.cast("double").alias(f"_s_{n}") for n, c in aggs.items()])
     got = got.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_s_{n}" for n in aggs])
-    cond = None
+    cond = F.lit(True)
     for k in keys:
-        c = df[k].eqNullSafe(got[f"_k_{k}"])
-        cond = c if cond is None else cond & c
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return df.join(got, cond).drop(*[f"_k_{k}" for k in keys]), {n: F.col(f"_s_{n}") for n in aggs}
 
 

@@ -121,6 +121,8 @@ class Curve:
 
     def horner(self) -> tuple[np.ndarray, float, float]:
         """Power coefficients in scale * x + shift, which maps the range onto [-1, 1]."""
+        if self.family.name == "monomial" and not (math.isfinite(self.x_min) and math.isfinite(self.x_max)):
+            return np.array(self.coefs), 1.0, 0.0
         to_unit = DomainMap.between((self.x_min, self.x_max), (-1.0, 1.0)) if self.x_max > self.x_min else DomainMap(1.0, -self.x_min)
         t = C.chebpts1(self.k) if self.k > 1 else np.zeros(1)
         series = np.linalg.solve(C.chebvander(t, self.k - 1), self(to_unit.back(t)))
