@@ -85,7 +85,8 @@ class Curve:
     # --- evaluation
     def __call__(self, x):
         """numpy; x may be complex for families of polynomials and Fourier."""
-        return self.family.design(np.asarray(x), self.k, self.domain) @ np.asarray(self.coefs)
+        x = np.asarray(x)
+        return (self.family.design(np.atleast_1d(x), self.k, self.domain) @ np.asarray(self.coefs)).reshape(x.shape)[()]
 
     def normalized(self, t):
         """Value at normalised places."""

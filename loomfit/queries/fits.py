@@ -252,7 +252,7 @@ def fit_windows_stream_events(spark, d):
 # --- bands
 
 _BAND = """with s as (select count(*) as n, avg(p_partkey) as mx, regr_slope(p_retailprice, p_partkey) as b, regr_intercept(p_retailprice, p_partkey) as a, regr_sxx(p_retailprice, p_partkey) as sxx,
-  regr_syy(p_retailprice, p_partkey) * (1 - regr_r2(p_retailprice, p_partkey)) / (count(*) - 2) as s2, var_pop(p_retailprice) as vy from part),
+  greatest(0, regr_syy(p_retailprice, p_partkey) * (1 - regr_r2(p_retailprice, p_partkey))) / (count(*) - 2) as s2, var_pop(p_retailprice) as vy from part),
 v as (select p_partkey, p_retailprice, a + b * p_partkey as value, 1.959 * sqrt(s2 * (1.0 / n + pow(p_partkey - mx, 2) / sxx) + {variance}) + {extra} as half from part, s)
 """
 
@@ -279,7 +279,7 @@ def outliers_part(spark, d):
 
 @query("""with s as (select count(*) as n, min(p_partkey) as lo, max(p_partkey) as hi from part),
 t as (select 2.0 * (p_partkey - lo) / (hi - lo) - 1 as t, p_retailprice as y, n from part, s),
-r as (select any_value(n) as n, avg(t) as mt, regr_sxx(y, t) as sxx, regr_slope(y, t) as b, regr_intercept(y, t) as a, regr_syy(y, t) * (1 - regr_r2(y, t)) as sse, regr_r2(y, t) as r2 from t)
+r as (select any_value(n) as n, avg(t) as mt, regr_sxx(y, t) as sxx, regr_slope(y, t) as b, regr_intercept(y, t) as a, greatest(0, regr_syy(y, t) * (1 - regr_r2(y, t))) as sse, regr_r2(y, t) as r2 from t)
 select 1 as degree, n as data_points, round(a, 4) as c0, round(b, 4) as c1, round(sqrt(sse / (n - 2) * (1.0 / n + mt * mt / sxx)), 6) as e0, round(sqrt(sse / (n - 2) / sxx), 6) as e1, round(sse / n, 4) as mse, round(r2, 8) as r_squared from r""")
 def properties_part(spark, d):
     p = pr.properties(ft.fit(table(spark, d, "part"), "p_partkey", "p_retailprice", 1))
