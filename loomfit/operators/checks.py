@@ -59,8 +59,7 @@ class Checks:
 
     def max_residual(self, most: float, share: float = 0.95) -> Checks:
         r = F.abs(F.col("_y") - self.f.curve.column(F.col("_x")))
-        v = self.f.points().select(r.alias("_r")).agg(F.expr(f"percentile_disc({share}) within group (order by _r)"))
-        v = v.first()[0]
+        v = stats.quantile(self.f.points(), r, share)
         return self._add("max_residual", v, most, v <= most)
 
     def monotone(self) -> Checks:

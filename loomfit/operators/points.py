@@ -43,29 +43,30 @@ def x_range(pts: DataFrame) -> tuple[int, float, float]:
     return n, lo, hi
 
 
-def with_index(df: DataFrame, *order: str, into: str = "_i", rows_a_bucket: int = 1_000_000) -> DataFrame:
-    """A row number from 0 along the order columns without sorting all rows in one
-    task: rows are cut into buckets at quantiles of the first column, buckets are
-    counted, and each is numbered by itself from the rows before it."""
+def with_index(df: DataFrame, *order: str, into: str = "_i", rows_a_bucket: int = 1_000_000, keys: Sequence[str] = ()) -> DataFrame:
+    """A row number from 0 along the order columns (within each key, if given) without
+    sorting all rows, or all rows of a key, in one task: rows are cut into buckets at
+    quantiles of the first column, buckets are counted, and each is numbered by
+    itself from the rows before it."""
     first = order[0]
     n = df.count()
     cuts = []
     if n > rows_a_bucket:
         shares = [i * rows_a_bucket / n for i in range(1, -(-n // rows_a_bucket))]
         cuts = sorted({c for c in df.agg(F.percentile_approx(F.col(first), F.array(*[F.lit(s) for s in shares]), F.lit(10_000))).first()[0] or []})
-    kind = df.schema[first].dataType
-    edges = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else None
-    bucket = F.size(F.filter(edges, lambda e: e < F.col(first))) if cuts else F.lit(0)
-    rows = df.withColumn("_bucket", bucket)
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)).cast("long") - 1
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)).cast("long") - 1
     if not cuts:
-        return rows.withColumn(into, own).drop("_bucket")
-    counts = dict(rows.groupBy("_bucket").count().collect())  # one row a bucket
-    before, starts = 0, []
-    for b in range(len(cuts) + 1):
-        starts.append(before)
-        before += counts.get(b, 0)
-    return rows.withColumn(into, own + F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_bucket"))).drop("_bucket")
+        return df.withColumn("_bucket", F.lit(0)).withColumn(into, own).drop("_bucket")
+    edges = F.array(*[F.lit(c).cast(df.schema[first].dataType) for c in cuts])
+    rows = df.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col(first))))
+    counts = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_kb")).count()
+    before = F.sum("count").over(Window.partitionBy(*[f"_k_{k}" for k in keys] or [F.lit(0)]).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("count")  # a row for each key and bucket
+    same = F.col("_bucket") == F.col("_kb")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    both = rows.withColumn(into, own).join(starts, same)
+    return both.withColumn(into, F.col(into) + F.col("_before")).select(*df.columns, into)
 
 
 def fold_of(index: Column, n: int, folds: int) -> Column:

@@ -20,15 +20,30 @@ def huber(r: Column, delta) -> Column:
 
 
 def medians(df: DataFrame, cols: list[Column], n: int | None = None, small: int = 2_000_000, gather: int = 50_000) -> list[float]:
-    """Exact medians of several columns at once. Small inputs use Spark's own; for
-    large ones brackets around the middle ranks are narrowed pass by pass until
-    few enough values are left in each to be gathered."""
+    """Exact medians of several columns at once; 0 without rows."""
     n = df.count() if n is None else n
     if n == 0:
         return [0.0] * len(cols)
     if n <= small:
         return [float(v) for v in df.agg(*[F.median(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()]
-    ranks = ((n - 1) // 2, n // 2)  # from 0
+    return by_rank(df, cols, n, ((n - 1) // 2, n // 2), gather)
+
+
+def quantile(df: DataFrame, col: Column, share: float, small: int = 2_000_000) -> float | None:
+    """The value of nearest rank: the smallest that at least the share of rows don't exceed."""
+    rows = df.select(col.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    n = rows.count()
+    if n == 0:
+        return None
+    if n <= small:
+        return rows.agg(F.expr(f"percentile_disc({share}) within group (order by _v)")).first()[0]
+    rank = max(0, math.ceil(share * n) - 1)
+    return by_rank(rows, [F.col("_v")], n, (rank, rank))[0]
+
+
+def by_rank(df: DataFrame, cols: list[Column], n: int, ranks: tuple[int, int], gather: int = 50_000) -> list[float]:
+    """Means of the values at two ranks (from 0, of n rows without nulls). Brackets
+    around them are narrowed pass by pass until few distinct values are left in each."""
     lo, hi = [-math.inf] * len(cols), [math.inf] * len(cols)
     below, inside = [0] * len(cols), [n] * len(cols)
     while max(inside) > gather:

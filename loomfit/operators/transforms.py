@@ -63,17 +63,15 @@ def log_offset(df: DataFrame, epsilon: float = 0.01, col: str = "y", keys: Seque
 
 
 def _windowed(df: DataFrame, order: Sequence[str], keys: Sequence[str], halo: int, make, block: int = 100_000) -> DataFrame:
-    """make(window, first, last) -> Column over rows in order. One long series is cut
-    into blocks that borrow `halo` rows from their neighbours, so no task holds it all."""
-    if keys:
-        w = Window.partitionBy(*keys)
-        return df.withColumn("_v", make(w.orderBy(*order), w))
-    rows = with_index(df, *order)
+    """make(window, whole) -> Column over rows in order. A long series, of all rows or
+    of a key, is cut into blocks that borrow `halo` rows from their neighbours, so no
+    task holds it all."""
+    rows = with_index(df, *order, keys=keys)
     block = max(block, 2 * halo + 1)
     own = F.expr(f"_i div {block}")
     near = F.array_distinct(F.array(F.greatest(F.expr(f"(_i - {halo}) div {block}"), F.lit(0).cast("long")), own, F.expr(f"(_i + {halo}) div {block}")))
     rows = rows.withColumn("_own", own).withColumn("_b", F.explode(near))
-    w = Window.partitionBy("_b")
+    w = Window.partitionBy(*keys, "_b")
     return rows.withColumn("_v", make(w.orderBy("_i"), w)).where("_b = _own").drop("_own", "_b", "_i")
 
 

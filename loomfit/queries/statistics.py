@@ -82,6 +82,6 @@ def ranges_lineitem(spark, d):
 select round(quantile_disc(abs(r), 0.95), 3) as residual_95, round(median(abs(r)), 3) as residual_50 from r""")
 def residual_quantiles_lineitem(spark, d):
     f = ft.fit(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 1)
-    r = f.points().select(F.abs(F.col("_y") - f.curve.column(F.col("_x"))).alias("r"))
-    out = r.agg(F.expr("percentile_disc(0.95) within group (order by r)").alias("residual_95"), F.median("r").alias("residual_50"))
+    r = F.abs(F.col("_y") - f.curve.column(F.col("_x")))
+    out = spark.createDataFrame([(stats.quantile(f.points(), r, 0.95), stats.medians(f.points(), [r])[0])], "residual_95 double, residual_50 double")
     return rounded(out, 3, "residual_95", "residual_50")

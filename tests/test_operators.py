@@ -201,6 +201,28 @@ def test_smoothing_in_blocks_equals_one_window(spark):
     assert np.allclose(a, b) and len(b) == 500
 
 
+def test_a_long_key_is_cut_into_blocks(spark):
+    df = spark.range(900).selectExpr("id as x", "if(id % 3 = 0, 'hot', if(id % 5 = 0, null, 'b')) as k", "sin(id / 7.0) as y")
+    whole = tr._windowed(df, ["x"], ["k"], 2, lambda w, _: F.avg("y").over(w.rowsBetween(-2, 2)))
+    cut = tr._windowed(df, ["x"], ["k"], 2, lambda w, _: F.avg("y").over(w.rowsBetween(-2, 2)), block=25)
+    plain = df.withColumn("_v", F.expr("avg(y) over (partition by k order by x rows between 2 preceding and 2 following)"))
+    a, b, c = (sorted((r.x, round(r._v, 12)) for r in t.collect()) for t in (whole, cut, plain))
+    assert a == b == c
+    many = {(r.k, r.x): r._i for r in with_index(df, "x", rows_a_bucket=100, keys=["k"]).collect()}
+    few = {(r.k, r.x): r._i for r in with_index(df, "x", keys=["k"]).collect()}
+    assert many == few and len(many) == 900
+
+
+def test_quantiles_by_narrowing(spark):
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=3001), 3)
+    df = spark.createDataFrame([(float(a),) for a in v] + [(None,)], "v double")
+    for p in (0.05, 0.5, 0.95, 1.0):
+        want = np.sort(v)[max(0, math.ceil(p * len(v)) - 1)]
+        assert stats.quantile(df, F.col("v"), p) == stats.quantile(df, F.col("v"), p, small=10) == want
+    assert stats.quantile(df.where("v > 1e9"), F.col("v"), 0.5) is None
+
+
 def test_normalising(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "x double, y double")
     assert [round(r.y, 4) for r in tr.standardize(df).orderBy("x").collect()] == [-1.2247, 0, 1.2247]
