@@ -1,7 +1,7 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are trained on at most ``sample`` distinct vectors with a penalty on
-large lists. A vector goes to the list of its nearest centroid and, near a
+Centroids are trained on at most ``sample`` distinct vectors by halving the longest
+list again and again. A vector goes to the list of its nearest centroid and, near a
 boundary, to further ones; lists that stay long are cut into parts of bounded
 length. Centroids are searched through an in-memory neighbour graph. A query
 reads its nearest lists up to a ratio of distances; each part is compared by
@@ -20,6 +20,7 @@ rows; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,23 +44,31 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None], 0)
 
 
-def train_centroids(x: np.ndarray, k: int, rounds: int = 12, balance: float = 0.5, seed: int = 7) -> np.ndarray:
-    """k-means whose assignment is charged for the list's length."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), k, replace=False)].copy()
-    load = np.zeros(k)
+def _halves(x: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Two means, started at two far rows; at the middle row if they'd be too uneven."""
+    a = x[((x - x[0]) ** 2).sum(1).argmax()]
+    b = x[((x - a) ** 2).sum(1).argmax()]
     for _ in range(rounds):
-        d = distances(x, c)
-        unit = d.min(1).mean()
-        near = (d + balance * unit * load[None] * k / max(1, len(x))).argmin(1) if load.any() else d.argmin(1)
-        load = np.bincount(near, minlength=k).astype(float)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        full = load > 0
-        c[full] = total[full] / load[full, None]
-        if (~full).any():  # an empty list restarts at the rows that lie worst
-            c[~full] = x[np.argsort(-d.min(1), kind="stable")[: (~full).sum()]]
-    return c
+        side = ((x - a) ** 2).sum(1) > ((x - b) ** 2).sum(1)
+        if side.all() or not side.any():
+            break
+        a, b = x[~side].mean(0), x[side].mean(0)
+    if not len(x) // 5 <= side.sum() <= len(x) - len(x) // 5 or side.all() or not side.any():
+        order = np.argsort(x @ (b - a), kind="stable")
+        side = np.zeros(len(x), bool)
+        side[order[len(x) // 2 :]] = True
+    return side
+
+
+def train_centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """The longest list is halved until there are k, so that lists stay of like length."""
+    lists = [(-len(x), 0, np.arange(len(x)))]
+    while len(lists) < k and -lists[0][0] > 1:
+        _, at, rows = heapq.heappop(lists)
+        side = _halves(x[rows])
+        for i, part in enumerate((rows[~side], rows[side])):
+            heapq.heappush(lists, (-len(part), 2 * at + 1 + i, part))
+    return np.stack([x[rows].mean(0) for _, _, rows in lists])
 
 
 class CentroidGraph:
