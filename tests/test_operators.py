@@ -175,7 +175,7 @@ def test_exact_medians_by_narrowing(spark):
     rng = np.random.default_rng(1)
     v = np.round(rng.normal(size=5000), 2)
     df = spark.createDataFrame([(float(a), float(a * a)) for a in v], "a double, b double")
-    assert stats.medians(df, [F.col("a"), F.col("b")], 5000, small=100, gather=200) == pytest.approx([np.median(v), np.median(v * v)])
+    assert stats.medians(df, [F.col("a"), F.col("b")], 5000, gather=200) == pytest.approx([np.median(v), np.median(v * v)])
 
 
 def test_index_over_many_buckets(spark):
@@ -213,13 +213,19 @@ def test_a_long_key_is_cut_into_blocks(spark):
     assert many == few and len(many) == 900
 
 
+def test_medians_of_columns_with_few_values(spark):
+    df = spark.range(5000).selectExpr("cast(id % 2 as double) as a", "1.0D as b", "cast(id as double) as c")
+    assert stats.medians(df, [F.col("a"), F.col("b"), F.col("c")], gather=300) == [0.5, 1.0, 2499.5]
+    assert stats.medians(df.where("id < 0"), [F.col("a")]) == [0.0]
+
+
 def test_quantiles_by_narrowing(spark):
     rng = np.random.default_rng(6)
     v = np.round(rng.normal(size=3001), 3)
     df = spark.createDataFrame([(float(a),) for a in v] + [(None,)], "v double")
     for p in (0.05, 0.5, 0.95, 1.0):
         want = np.sort(v)[max(0, math.ceil(p * len(v)) - 1)]
-        assert stats.quantile(df, F.col("v"), p) == stats.quantile(df, F.col("v"), p, small=10) == want
+        assert stats.quantile(df, F.col("v"), p) == stats.quantile(df, F.col("v"), p, gather=100) == want
     assert stats.quantile(df.where("v > 1e9"), F.col("v"), 0.5) is None
 
 
