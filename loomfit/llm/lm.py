@@ -26,13 +26,15 @@ import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod_col, written
+from .common import crc_mod_col, parallelism, written
+from .shingles import mixed
 
 END = b""
 DISCOUNT = 0.75
@@ -108,6 +110,7 @@ class Level:
 
     def __init__(self, values: EliasFano, pointers: EliasFano, prob: np.ndarray, back: np.ndarray):
         self.values, self.pointers, self.prob, self.back = values, pointers, prob, back
+        self.plain = None
 
     @classmethod
     def of(cls, parent: np.ndarray, word: np.ndarray, parents: int, prob: np.ndarray, back: np.ndarray) -> Level:
@@ -119,10 +122,20 @@ class Level:
         group = np.cumsum(np.append(False, parent[1:] != parent[:-1])) if len(parent) else np.empty(0, int)
         return cls(EliasFano.of(word + base[group] + 0 if len(parent) else word), EliasFano.of(ptr), prob, back)
 
-    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def ranges(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First child, end and what the children's values were raised by."""
         lo, hi = self.pointers.access(parent), self.pointers.access(parent + 1)
-        base = np.where(lo > 0, self.values.access(np.maximum(lo - 1, 0)) + 1, 0) if self.values.n else lo
-        return np.where(lo < hi, self.values.find(word + base, lo, hi), -1)
+        return lo, hi, np.where(lo > 0, self.values.access(np.maximum(lo - 1, 0)) + 1, 0) if self.values.n else lo
+
+    def decode(self) -> None:
+        """Keeps the ranges of all parents as plain numbers: for a level with few of them."""
+        self.plain = self.ranges(np.arange(self.pointers.n - 1))
+
+    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        lo, hi, base = (x[parent] for x in self.plain) if self.plain else self.ranges(parent)
+        out, some = np.full(len(parent), -1), np.flatnonzero(lo < hi)
+        out[some] = self.values.find(word[some] + base[some], lo[some], hi[some])
+        return out
 
 
 SCALE = 4096.0  # codes a power of ten
@@ -185,27 +198,36 @@ class Trie:
     def pairs(self, u: np.ndarray, w: np.ndarray, log1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the pair level or -1, log10 P(w | u)); u may be -1 (no context),
         w may be -1 (outside the vocabulary, its log1 is 0 and is added later)."""
-        at = np.full(len(w), -1)
-        both = np.flatnonzero((u >= 0) & (w >= 0))
-        at[both] = self.levels[0].find(u[both], w[both])
-        back = np.where(u >= 0, decoded(self.back1[np.maximum(u, 0)]), 0.0)
-        return at, np.where(at >= 0, decoded(self.levels[0].prob[np.maximum(at, 0)]) if len(self.levels[0].prob) else 0.0, back + log1)
-
-    def score(self, t: np.ndarray, u: np.ndarray, w: np.ndarray, log1: np.ndarray) -> np.ndarray:
-        _, p2 = self.pairs(u, w, log1)
-        ctx = np.full(len(w), -1)
-        both = np.flatnonzero((t >= 0) & (u >= 0))
-        ctx[both] = self.levels[0].find(t[both], u[both])
-        has = np.flatnonzero(ctx >= 0)
+        at, out = np.full(len(w), -1), log1.copy()
+        told = np.flatnonzero(u >= 0)
+        out[told] += decoded(self.back1[u[told]])
+        both = told[w[told] >= 0]
+        found = self.levels[0].find(u[both], w[both])
+        hit = found >= 0
+        both, found = both[hit], found[hit]
+        at[both], out[both] = found, decoded(self.levels[0].prob[found])
+        return at, out
+
+    def given(self, ctx: np.ndarray, w: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """log10 P(w | pair), where ctx is the pair's place or -1, from log10 P(w | u)."""
         out = p2.copy()
-        if len(has):
-            at = np.full(len(has), -1)
-            known = np.flatnonzero(w[has] >= 0)
-            at[known] = self.levels[1].find(ctx[has][known], w[has][known])
-            p3 = decoded(self.levels[1].prob[np.maximum(at, 0)]) if len(self.levels[1].prob) else np.zeros(len(has))
-            out[has] = np.where(at >= 0, p3, decoded(self.levels[0].back[ctx[has]]) + p2[has])
+        has = np.flatnonzero(ctx >= 0)
+        out[has] += decoded(self.levels[0].back[ctx[has]])
+        known = has[w[has] >= 0]
+        found = self.levels[1].find(ctx[known], w[known])
+        hit = found >= 0
+        out[known[hit]] = decoded(self.levels[1].prob[found[hit]])
         return out
 
+    def score(self, first: np.ndarray, u: np.ndarray, w: np.ndarray, log1: np.ndarray) -> np.ndarray:
+        """Of running texts that begin at the places first: the pair before a token
+        is the pair that the token before it ended."""
+        at, p2 = self.pairs(u, w, log1)
+        ctx = np.empty_like(at)
+        ctx[1:] = at[:-1]
+        ctx[first] = -1
+        return self.given(ctx, w, p2)
+
 
 def tokens(text: str | None) -> list[bytes]:
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -222,29 +244,66 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(texts: list, ids: dict[bytes, int], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[bytes]]:
-    """(t, u, w) of every token of the texts, tokens a text, and all tokens."""
+    """(u, w) of every token of the texts, where each text begins, tokens a text, and
+    all tokens."""
     ws, sizes = [], []
     for text in texts:
         w = tokens(text)
         ws += w
         sizes.append(len(w))
-    w = np.fromiter((ids.get(x, -1) for x in ws), np.int64, len(ws))
+    w = np.fromiter(map(ids.get, ws, repeat(-1)), np.int64, len(ws))
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
-    u, t = np.empty_like(w), np.empty_like(w)
-    u[1:], t[2:] = w[:-1], w[:-2]
-    u[first], t[first] = begin, -1
-    second = first[np.array(sizes) > 1] + 1
-    t[second] = begin
-    return t, u, w, sizes, ws
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[first] = begin
+    return u, w, first, sizes, ws
+
+
+PACKED = "bucket int, keys binary, counts binary"
+
+
+def _packed(keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Distinct keys of a batch with their counts, dealt by hash into buckets: a few
+    rows of long sorted runs of differences, which shuffle in less room than rows."""
+    keys, counts = np.unique(keys, return_counts=True)
+    bucket = (mixed(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    keys, counts = keys[order], counts[order].astype("<u4")
+    held, first = np.unique(bucket[order], return_index=True)
+    ends = [*first[1:].tolist(), len(keys)]
+    runs = [(np.diff(keys[lo:hi], prepend=0).astype("<i8").tobytes(), counts[lo:hi].tobytes()) for lo, hi in zip(first.tolist(), ends)]
+    return pa.RecordBatch.from_arrays([pa.array(held), pa.array([r[0] for r in runs], pa.binary()), pa.array([r[1] for r in runs], pa.binary())], ["bucket", "keys", "counts"])
+
+
+def _merged(least: int, hold: int = 1 << 22):
+    """Sums of the runs of a partition's buckets, from `least` on."""
+
+    def add(runs: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([r[1] for r in runs]), len(keys)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, size = [], 0
+        for b in batches:
+            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                runs.append((np.cumsum(np.frombuffer(k, "<i8")), np.frombuffer(c, "<u4").astype(np.int64)))
+                size += len(runs[-1][0])
+            if size > hold and len(runs) > 1:
+                runs, size = [add(runs)], 0
+        if runs:
+            keys, counts = add(runs)
+            at = counts >= least
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(counts[at])], ["key", "c"])
+
+    return run
 
 
-def _count_pairs(ids: dict[bytes, int], m: int):
+def _count_pairs(ids: dict[bytes, int], m: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                _, u, w, _, _ = _contexts(b.column("text").to_pylist(), ids, m - 1)
-                key, c = np.unique((u * m + w)[(u >= 0) & (w >= 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
+                u, w, *_ = _contexts(b.column("text").to_pylist(), ids, m - 1)
+                yield _packed((u * m + w)[(u >= 0) & (w >= 0)], buckets)
 
     return run
 
@@ -256,24 +315,27 @@ def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def _count_triples(ids: dict[bytes, int], m: int, pairs):
+def _count_triples(ids: dict[bytes, int], m: int, pairs, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = pairs.value
         for b in batches:
             if b.num_rows:
-                t, u, w, _, _ = _contexts(b.column("text").to_pylist(), ids, m - 1)
-                ok = (t >= 0) & (u >= 0) & (w >= 0)
-                t, u, w = t[ok], u[ok], w[ok]
-                at, known = _place(keys, t * m + u), _place(keys, u * m + w)
-                key, c = np.unique((at * m + w)[(at >= 0) & (known >= 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
+                u, w, first, *_ = _contexts(b.column("text").to_pylist(), ids, m - 1)
+                at = np.full(len(w), -1)
+                both = np.flatnonzero((u >= 0) & (w >= 0))
+                at[both] = _place(keys, u[both] * m + w[both])
+                before = np.append(-1, at[:-1])  # the pair that the token before ended
+                before[first] = -1
+                ok = (at >= 0) & (before >= 0)
+                yield _packed(before[ok] * m + w[ok], buckets)
 
     return run
 
 
-def _top(counts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _top(runs: DataFrame, parts: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys, sorted, and counts; at most `most` rows of two numbers come to the driver."""
-    kept = counts.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "key").limit(most).toArrow()
+    sums = runs.repartition(parts, "bucket").mapInArrow(_merged(least), "key long, c long")
+    kept = sums.orderBy(F.desc("c"), "key").limit(most).toArrow()
     key, c = kept.column("key").to_numpy(), kept.column("c").to_numpy()
     order = np.argsort(key)
     return key[order], c[order]
@@ -315,9 +377,10 @@ def train(docs: DataFrame, words: DataFrame, vocabulary: int, ngrams: int, least
     ids = {bytes(r["word"]): i for i, r in enumerate(top)} | {END: len(top)}
     m = len(top) + 2
     counts = np.array([r["c"] for r in top] + [end, end], float)
-    pairs = _top(docs.mapInArrow(_count_pairs(ids, m), "key long, c long"), least, ngrams)
+    parts = parallelism(spark)
+    pairs = _top(docs.mapInArrow(_count_pairs(ids, m, 4 * parts), PACKED), parts, least, ngrams)
     keys = spark.sparkContext.broadcast(pairs[0])
-    triples = _top(docs.mapInArrow(_count_triples(ids, m, keys), "key long, c long"), least, ngrams)
+    triples = _top(docs.mapInArrow(_count_triples(ids, m, keys, 4 * parts), PACKED), parts, least, ngrams)
     keys.unpersist()
     model = Model(ids, counts, total, distinct, None)
     model.blob = spark.sparkContext.broadcast(build_trie(counts, model.mass, m, pairs, triples).to_bytes())
@@ -331,19 +394,17 @@ def _score(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie.mapped(blob.value)
+        trie.levels[0].decode()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                t, u, w, sizes, ws = _contexts(part.column("text").to_pylist(), ids, begin)
-                cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
+                u, w, first, sizes, ws = _contexts(part.column("text").to_pylist(), ids, begin)
                 one = log1[w]
-                base, score = np.add.reduceat(one, cuts), np.add.reduceat(trie.score(t, u, w, one), cuts)
-                known = np.add.reduceat(seen[w].astype(np.int64), cuts)
-                odd: list[Counter] = [Counter() for _ in sizes]
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                for i in np.flatnonzero(w < 0).tolist():
-                    odd[doc[i]][ws[i]] += 1
-                rare = pa.array([[{"word": k, "tf": v} for k, v in c.items()] for c in odd], pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
+                base, score = np.add.reduceat(one, first), np.add.reduceat(trie.score(first, u, w, one), first)
+                known = np.add.reduceat(seen[w].astype(np.int64), first)
+                odd = np.flatnonzero(w < 0)
+                ends = np.append(0, np.cumsum(np.add.reduceat((w < 0).astype(np.int32), first, dtype=np.int32))).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array([ws[i] for i in odd.tolist()], pa.binary()))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(score), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     return run
@@ -356,11 +417,11 @@ def lm_scores(docs: DataFrame, held_of: int = 10, vocabulary: int = 1 << 16, ngr
     fit = docs.where("not held_out").select("text")
     words = written(fit.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     model = train(fit, words, vocabulary, ngrams, least)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:long>>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"
     scored = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model), schema), "scored")
-    rare = scored.select("row", F.inline("rare")).join(words, "word", "left")
+    rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     log1 = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(model.mass))
-    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * log1).alias("log1"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more"))
+    rare = rare.groupBy("row").agg(F.sum(log1).alias("log1"), F.count("c").alias("more"))
     out = scored.drop("rare").join(rare, "row", "left")
     add = F.coalesce("log1", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + add).alias("base_score"), (F.col("score") + add).alias("score"))
