@@ -118,7 +118,7 @@ def _choose(graph: CentroidGraph, want: int, ratio: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            q = np.array(b.column("v").to_pylist())
+            q = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
             lists, dist = graph.search(q, min(want, len(graph.c)))
             keep = dist <= ratio * dist[:, :1] + 1e-12
             of = pa.array(np.repeat(np.arange(len(q)), keep.sum(1)))
@@ -127,40 +127,65 @@ def _choose(graph: CentroidGraph, want: int, ratio: float):
     return run
 
 
+class _Best:
+    """The top + 1 entries of each query among all cells of a task; ties to the smaller entry."""
+
+    def __init__(self, top: int, hold: int = 1 << 19):
+        self.m, self.hold, self.parts, self.size = top + 1, hold, [], 0
+
+    def _kept(self, q: np.ndarray, entry: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((entry, score, q))
+        q, entry, score = q[order], entry[order], score[order]
+        new = np.append(True, (q[1:] != q[:-1]) | (entry[1:] != entry[:-1]))  # an entry may stand in several lists
+        q, entry, score = q[new], entry[new], score[new]
+        start = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+        return q[place < self.m], entry[place < self.m], score[place < self.m]
+
+    def add(self, ids: np.ndarray, q: np.ndarray, entries: np.ndarray, x: np.ndarray) -> None:
+        d = distances(q, x)
+        m = min(self.m, len(x))
+        far = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+        row, col = np.nonzero(d <= far + 1e-9 * (1 + far))  # products round; these are measured exactly
+        score = np.concatenate([np.sqrt(((q[row[i : i + 65536]] - x[col[i : i + 65536]]) ** 2).sum(1)) for i in range(0, len(row), 65536)])
+        self.parts.append(self._kept(ids[row], entries[col], score))
+        self.size += len(self.parts[-1][0])
+
+    def batch(self, last: bool) -> pa.RecordBatch | None:
+        """What is due: all at the end, or when so many queries are held that memory asks for it."""
+        if not self.parts or not last and self.size < self.hold:
+            return None
+        q, entry, score = self._kept(*(np.concatenate(x) for x in zip(*self.parts)))
+        self.parts, self.size = [(q, entry, score)], len(q)
+        if not last and self.size < self.hold // 2:
+            return None
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(entry), pa.array(score)], ["query_id", "entry", "score"])
+
+
 def _compare(top: int):
     """Rows sorted by (list, part, qpart); each cell holds bounded queries and entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, best = None, _Best(top)
         for b in _then_end(batches):
             parts = [x for x in (rest, b) if x is not None]
-            if not parts:
-                continue
-            t = pa.Table.from_batches(parts).combine_chunks()
-            if not t.num_rows:
-                continue
-            key = np.stack([np.asarray(t.column(c)) for c in ("list", "part", "qpart")], 1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            bounds = [0, *cuts.tolist(), *([t.num_rows] if b is None else [])]
-            out = [[], [], []]
-            for lo, hi in zip(bounds, bounds[1:]):
-                ask = np.asarray(t.column("query").slice(lo, hi - lo))
-                if ask.all() or not ask.any():
-                    continue
-                ids = np.asarray(t.column("vec_id").slice(lo, hi - lo))
-                v = np.array(t.column("v").slice(lo, hi - lo).to_pylist())
-                q, x = v[ask], v[~ask]
-                d = distances(q, x)
-                m = min(top + 1, len(x))
-                best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                exact = np.sqrt(((q[:, None] - x[best]) ** 2).sum(2))
-                out[0].append(np.repeat(ids[ask], m))
-                out[1].append(ids[~ask][best].ravel())
-                out[2].append(exact.ravel())
-            tail = t.slice(bounds[-1])
-            rest = tail.combine_chunks().to_batches()[0] if tail.num_rows else None
-            cat = lambda a, e: np.concatenate(a) if a else np.empty(0, e)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(out[0], np.int64)), pa.array(cat(out[1], np.int64)), pa.array(cat(out[2], float))], ["query_id", "entry", "score"])
+            if parts and (t := pa.Table.from_batches(parts).combine_chunks()).num_rows:
+                key = np.stack([np.asarray(t.column(c)) for c in ("list", "part", "qpart")], 1)
+                cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+                bounds = [0, *cuts.tolist(), *([t.num_rows] if b is None else [])]
+                for lo, hi in zip(bounds, bounds[1:]):
+                    ask = np.asarray(t.column("query").slice(lo, hi - lo))
+                    if ask.all() or not ask.any():
+                        continue
+                    ids = np.asarray(t.column("vec_id").slice(lo, hi - lo))
+                    v = t.column("v").slice(lo, hi - lo).combine_chunks()
+                    v = v.flatten().to_numpy().reshape(hi - lo, -1)
+                    best.add(ids[ask], v[ask], ids[~ask], v[~ask])
+                tail = t.slice(bounds[-1])
+                rest = tail.combine_chunks().to_batches()[0] if tail.num_rows else None
+            if (out := best.batch(b is None)) is not None:
+                yield out
 
     return run
 
@@ -170,11 +195,12 @@ def _then_end(batches):
     yield None
 
 
-def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20000, list_size: int = 128, replicas: int = 4, replica_ratio: float = 1.05, probes: float = 0.5, ratio: float = 1.3, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20000, list_size: int = 128, replicas: int = 4, replica_ratio: float = 1.05, probes: float = 2.0, ratio: float = 1.3, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` nearest found for each row of
     vectors for which the expression queries_where holds.
 
-    probes is the share of lists that a query may read; distance ratio prunes below it.
+    A query may read probes * k^0.7 of k lists (a falling share of them); the ratio
+    of distances prunes below that.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     rows = written(usable(vectors, id_col, vec_col), "vectors")
@@ -184,7 +210,7 @@ def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= top + 1)
     entries = written(ids.groupBy("v").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     # an id may carry several vectors, so entries get a key of their own
-    entries = written(entries.select(F.monotonically_increasing_id().alias("entry"), "ids", "v"), "entries")
+    entries = written(entries.orderBy("entry", "v").select(F.monotonically_increasing_id().alias("entry"), "ids", "v"), "entries")  # smaller ids, smaller key
     n = entries.count()
     if n == 0:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -194,7 +220,7 @@ def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec
     placed = written(entries.select(F.col("entry").alias("vec_id"), "v").mapInArrow(_choose(graph, replicas, replica_ratio), "vec_id long, v array<double>, list int"), "lists")
     asked = rows.where(queries_where).withColumn("q", F.monotonically_increasing_id())
     asked = written(asked.select("q", "vec_id", "v"), "queries")
-    reads = written(asked.select(F.col("q").alias("vec_id"), "v").mapInArrow(_choose(graph, max(1, int(np.ceil(k * probes))), ratio), "vec_id long, v array<double>, list int"), "reads")
+    reads = written(asked.select(F.col("q").alias("vec_id"), "v").mapInArrow(_choose(graph, max(1, int(np.ceil(probes * k**0.7))), ratio), "vec_id long, v array<double>, list int"), "reads")
     lengths = placed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     askers = reads.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("qparts"))
     cut = F.broadcast(written(lengths.join(askers, "list"), "cut"))  # one row a list, at most sample / 8
@@ -203,7 +229,7 @@ def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec
     cells = left.unionByName(right).repartition("list", "part", "qpart").sortWithinPartitions("list", "part", "qpart")
     found = cells.mapInArrow(_compare(top), "query_id long, entry long, score double")
     found = found.groupBy("query_id", "entry").agg(F.min("score").alias("score"))
-    found = found.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy("score"))).where(F.col("r") <= top + 1)
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "entry"))).where(F.col("r") <= top + 1)
     named = found.join(asked.select(F.col("q").alias("query_id"), F.col("vec_id").alias("own"), F.col("v").alias("qv")), "query_id").join(entries.select("entry", "ids", F.col("v").alias("ev")), "entry")
     each = named.select("query_id", "own", F.explode("ids").alias("vec_id"), "score", (F.col("qv") == F.col("ev")).alias("same"))
     each = each.where(~((F.col("own") == F.col("vec_id")) & F.col("same")))
