@@ -5,13 +5,14 @@ a piece, so that a look-up costs the same for any vocabulary. A word is a string
 of hex pieces ``<48><65>``; ``aggregate`` folds merges over it, each step joining
 every occurrence, left to right, of the pair of least rank. (A merged piece ranks
 above its parts, so this gives the same pieces as joining one pair at a time.)
-Decoding looks up the pieces of the ids, concatenates and unhexes them.
+Decoding concatenates the binary pieces of the ids.
 
 The fold costs about half a millisecond a word, so it is run on the ``dictionary``
 most frequent distinct words of all documents only (at most 48 bytes each, so the
 table sent to the workers has a fixed bound). Whole texts are then encoded in
 Arrow batches: words of the dictionary are looked up, any other word is merged
 where it stands by the same ranks. The dictionary never changes a result.
+``Bpe.encode`` and ``Bpe.decode`` are the same as column expressions throughout.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; every
 row is encoded by itself, so null or repeated doc_ids, ties and extra columns do
@@ -23,10 +24,11 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -45,12 +47,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _bucketed(entries: dict[str, object], value_type: str) -> tuple[Column, int]:
-    n = 1 << max(4, len(entries).bit_length())
+def _bucketed(entries: dict[str, int]) -> list[dict[str, int]]:
+    n = 1 << max(4, len(entries).bit_length() - 2)
     maps: list[dict] = [{} for _ in range(n)]
     for k, v in entries.items():
         maps[zlib.crc32(k.encode()) % n][k] = v
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{value_type}>>"), n
+    return maps
 
 
 def _look(table: tuple[Column, int], key: Column) -> Column:
@@ -67,11 +69,11 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = java_pattern(pattern)
-        self.ranks = _bucketed({k.hex().upper(): v for k, v in ranks.items()}, "int")
+        self.maps = _bucketed({k.hex().upper(): v for k, v in ranks.items()})
         by_id = [""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             by_id[v] = k.hex()
-        self.pieces = F.split(F.lit(" ".join(by_id)), " ")
+        self.pieces = " ".join(by_id)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), 0)
@@ -81,12 +83,16 @@ class Bpe:
         return F.split(F.substring(state, 2, F.length(state) - 2), "><")
 
     def fold(self, word: Column) -> Column:
-        """ids of one match of the pattern."""
+        """ids of one match of the pattern. The rank map stands in the plan once."""
+        table = F.from_json(F.lit(json.dumps(self.maps, separators=(",", ":"))), "array<map<string,int>>")
+        return _let(table, lambda t: self._fold(word, (t, len(self.maps))))
+
+    def _fold(self, word: Column, ranks: tuple[Column, int]) -> Column:
         whole = F.hex(word.cast("binary"))
 
         def merge(acc: Column, _: Column) -> Column:
             def least(p: Column) -> Column:
-                ranked = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.struct(_look(self.ranks, F.concat(x, F.get(p, i + 1))).alias("r"), x.alias("x"), F.get(p, i + 1).alias("y")))
+                ranked = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.struct(_look(ranks, F.concat(x, F.get(p, i + 1))).alias("r"), x.alias("x"), F.get(p, i + 1).alias("y")))
                 return F.array_min(F.filter(ranked, lambda t: t["r"].isNotNull()))
 
             def joined(m: Column) -> Column:
@@ -97,24 +103,27 @@ class Bpe:
 
         start = F.struct(F.regexp_replace(whole, "(..)", "<$1>").alias("s"), (F.length(whole) > 2).alias("more"))
         steps = F.sequence(F.lit(1), F.greatest(F.length(whole) / 2 - 1, F.lit(1)).cast("int"))
-        folded = F.aggregate(steps, start, merge, lambda acc: F.transform(self._parts(acc["s"]), lambda p: _look(self.ranks, p)))
-        known = _look(self.ranks, whole)
+        folded = F.aggregate(steps, start, merge, lambda acc: F.transform(self._parts(acc["s"]), lambda p: _look(ranks, p)))
+        known = _look(ranks, whole)
         return F.when(known.isNotNull(), F.array(known)).otherwise(folded)
 
-    def encode(self, text: Column, dictionary: tuple[Column, int] | None = None) -> Column:
-        def ids(w: Column) -> Column:
-            return self.fold(w) if dictionary is None else F.coalesce(_look(dictionary, w), self.fold(w))
-
-        return F.flatten(F.transform(self.words(text), ids))
+    def encode(self, text: Column) -> Column:
+        return F.flatten(F.transform(self.words(text), self.fold))
 
     def decode(self, ids: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        pieces = F.split(F.lit(self.pieces), " ")
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
     def dictionary(self, docs: DataFrame, most: int, longest: int = 48) -> dict[str, list[int]]:
         """The most frequent distinct words of all documents and their ids."""
         word = docs.select(F.explode(self.words(F.col("text"))).alias("word"))
         top = word.groupBy("word").count().where((F.length(F.col("word").cast("binary")) <= longest) & (F.length("word") > 1)).orderBy(F.col("count").desc(), "word").limit(most)
-        rows = top.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism).select("word", self.fold(F.col("word")).alias("ids")).collect()
+        # here the rank map is a literal table of one row, as a literal in the plan would be
+        # copied into every description that the driver keeps; its size is the rank file's
+        spark = docs.sparkSession
+        literal = spark.createDataFrame([(1, self.maps)], "one int, ranks array<map<string,int>>")
+        dealt = top.repartition(4 * spark.sparkContext.defaultParallelism).withColumn("one", F.lit(1)).join(F.broadcast(literal), "one")
+        rows = dealt.select("word", self._fold(F.col("word"), (F.col("ranks"), len(self.maps))).alias("ids")).collect()
         return {r["word"]: r["ids"] for r in rows}
 
 
@@ -125,6 +134,8 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if known is not None:
         return [known]
     n = len(word)
+    if n <= 24:
+        return _merge_short(word, ranks)
     end = list(range(1, n + 1))  # a part is word[i:end[i]]; end[i] = 0: joined into its left
     left = list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -152,30 +163,65 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get, none = ranks.get, 1 << 40
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        new = parts[i] = parts[i] + parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(new + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + new, none)
+    return [ranks[p] for p in parts]
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class _Memo(dict):
+    """Packed ids of words, in two generations: when the young one is full it becomes
+    the old one, and words in use come back from there."""
+
     BOUND = 1 << 18
 
     def __init__(self, ranks, dictionary):
-        super().__init__(dictionary)
-        self.ranks, self.kept = ranks, dictionary
+        super().__init__()
+        self.ranks, self.kept, self.old = ranks, dictionary, {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.BOUND:
+            self.old = dict(self)
             self.clear()
-            self.update(self.kept)
-        ids = self[word] = merge_word(word.encode("utf-8", "surrogatepass"), self.ranks)
+        ids = self.old.get(word) or self.kept.get(word)
+        if ids is None:
+            ids = packed(merge_word(word.encode("utf-8", "surrogatepass"), self.ranks))
+        self[word] = ids
         return ids
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, list[int]]):
+def _encoder(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, list[int]], rows: int = 512):
     # the regex module's own \s may differ from Unicode White_Space
     spelt = pattern.replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}")
+    kept = {w: packed(ids) for w, ids in dictionary.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, find = _Memo(ranks, dictionary), regex.compile(spelt).findall
-        for b in batches:
-            ids = [list(chain.from_iterable(map(memo.__getitem__, find(t)))) if t else [] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        memo, find = _Memo(ranks, kept), regex.compile(spelt).findall
+        pieces = [b""] * (max(ranks.values(), default=0) + 1)
+        for k, v in ranks.items():
+            pieces[v] = k
+        piece = pieces.__getitem__
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                codes = [b"".join(map(memo.__getitem__, find(t))) if t else b"" for t in b.column("text").to_pylist()]
+                ends = np.cumsum([0, *(len(c) // 4 for c in codes)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+                decoded = [b"".join(map(piece, np.frombuffer(c, "<i4").tolist())) for c in codes]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return run
 
@@ -185,5 +231,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, dictionary:
     ranks = load_ranks(ranks_path)
     bpe = Bpe(ranks, pattern)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = docs.mapInArrow(_encoder(ranks, pattern, bpe.dictionary(docs, dictionary) if dictionary else {}), "doc_id long, ids array<int>")
-    return ids.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    known = bpe.dictionary(docs, dictionary) if dictionary else {}
+    return docs.mapInArrow(_encoder(ranks, pattern, known), "doc_id long, ids array<int>, decoded binary")
