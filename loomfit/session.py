@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def share_code(spark: SparkSession) -> SparkSession:
+    """Python workers on this machine find this package wherever the driver was started."""
+    root, held = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held]))
+    return spark
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", app: str = "loomfit") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -19,4 +30,4 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return share_code(spark)
