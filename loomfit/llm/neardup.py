@@ -3,14 +3,16 @@
 1. One pass makes each document's shingle set, its fingerprint and a MinHash
    signature. Equal sets form a class at once, so copies cost nothing further.
 2. Bands of the signature are buckets. Every bucket compares its members with
-   one of them (a star), which joins most of a large group of near copies with
-   a number of pairs that is linear in the group.
-3. Twice more every bucket compares those not yet joined with its hub, the member
-   that has most links: copies of one original differ more from each other than
-   from it, and the original is the hub.
+   one of them (a star): the member whose own buckets hold most rows. Copies of
+   one original differ more from each other than from it, so the original lies
+   in the largest buckets and is the centre of most of them; a large group then
+   costs a few pairs a member.
+3. Once more every bucket compares those not yet joined with its hub, the member
+   that has most links.
 4. Pairs in one bucket that are still in different components are compared in
-   bounded blocks, in the first band they share; pairs already joined need no
-   comparison.
+   bounded blocks, in the first band they share, first by signature and then by
+   sets of 32-bit hashes; of the pairs that join two components one is enough,
+   so a block gives a few pairs for each component, whatever its size.
 5. Comparing reads the signature in batches and drops a pair as soon as its
    posterior chance of reaching the threshold is under ``miss``; every pair
    that survives is confirmed on the full shingle sets.
@@ -90,12 +92,13 @@ def _signed(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, small: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for b in batches:
             sets = [shingle_set(t.encode("utf-8", "surrogatepass").lower().split() if t else [], k, memo) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set_id", "set"])
+            kept = [(_small(s) if small else s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([set_id(s) for s in sets], pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "set_id", "set"])
 
     return run
 
@@ -132,10 +135,38 @@ def _confirm(percent: int):
     return run
 
 
-def _cells(threshold: float, miss: float):
+def _small(s: np.ndarray) -> np.ndarray:
+    return np.unique((s >> np.uint64(32)).astype("<u4"))
+
+
+class _Joined(dict):
+    """Components that a cell has joined."""
+
+    def root(self, c: int) -> int:
+        while (up := self.get(c, c)) != c:
+            c = up
+        return c
+
+
+def _cells(percent: int, miss: float):
     """Rows sorted by (key, qb, tb); within a cell every query row is compared
     with every target row of another component."""
-    steps = least_matches(threshold, miss)
+    steps = least_matches(percent / 100, miss)
+
+    def settle(qi, qc, qset, ti, tc, tsets, joined, out_a, out_b):
+        """Candidates of one query row, likeliest first. Small sets lose or merge an
+        element at most rarely: a sure link joins its component, doubtful ones all go out."""
+        for t, c, s in zip(ti, tc, tsets):
+            mine, other = joined.root(qc), joined.root(c)
+            if mine == other:
+                continue
+            both = len(np.intersect1d(qset, s, assume_unique=True))
+            slack = 100 * both - percent * (len(qset) + len(s) - both)
+            if slack >= -600:
+                out_a.append(min(qi, t))
+                out_b.append(max(qi, t))
+                if slack >= 600:
+                    joined[max(mine, other)] = min(mine, other)
 
     def cell(q, t, band):
         qs, ts = _matrix(q["sig"], "<u4", HASHES), _matrix(t["sig"], "<u4", HASHES)
@@ -143,15 +174,18 @@ def _cells(threshold: float, miss: float):
         # a residual pair is compared once; a pair with the majority always
         want = (qc[:, None] != tc[None]) & (np.asarray(t["major"])[None] | (ti[None] > qi[:, None]))
         n, least = steps[0]
-        out_a, out_b = [], []
+        out_a, out_b, joined = [], [], _Joined()
         for i in np.flatnonzero(want.any(1)):
             js = np.flatnonzero(want[i])
             js = js[(ts[js, :n] == qs[i, :n]).sum(1) >= least]
             js = js[likely(ts[js], np.broadcast_to(qs[i], (len(js), HASHES)), steps)]
-            shared = (ts[js] == qs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            js = js[shared == band]
-            out_a.append(np.minimum(qi[i], ti[js]))
-            out_b.append(np.maximum(qi[i], ti[js]))
+            same = ts[js] == qs[i]
+            here = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            js = js[here][np.argsort(-same[here].sum(1), kind="stable")]
+            if len(js):
+                own = np.frombuffer(q["set"][int(i)].as_py(), "<u4")
+                sets = (np.frombuffer(t["set"][j].as_py(), "<u4") for j in js.tolist())
+                settle(int(qi[i]), int(qc[i]), own, ti[js].tolist(), tc[js].tolist(), sets, joined, out_a, out_b)
         return out_a, out_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +202,7 @@ def _cells(threshold: float, miss: float):
                 part = table.slice(lo, hi - lo)
                 ask = np.asarray(part.column("query"))
                 if ask.any() and not ask.all():
-                    side = [{c: part.column(c).combine_chunks().take(pa.array(np.flatnonzero(w))) for c in ("rep", "comp", "major", "sig")} for w in (ask, ~ask)]
+                    side = [{c: part.column(c).combine_chunks().take(pa.array(np.flatnonzero(w))) for c in ("rep", "comp", "major", "sig", "set")} for w in (ask, ~ask)]
                     for s in side:
                         s["major"] = np.asarray(s["major"].to_numpy(zero_copy_only=False), bool)
                         s["rep"], s["comp"] = s["rep"].to_numpy(), s["comp"].to_numpy()
@@ -177,8 +211,7 @@ def _cells(threshold: float, miss: float):
                     b_out += y
             last = table.slice(bounds[-1])
             rest = last.combine_chunks().to_batches()[0] if last.num_rows else None
-            cat = lambda v: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([cat(a_out), cat(b_out)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return run
 
@@ -188,13 +221,18 @@ def _then_end(batches):
     yield None
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int, small: bool = False) -> DataFrame:
+    """(doc_id, set) of representatives ids(doc_id)."""
+    need = classes.select(F.col("rep").alias("doc_id"), "set_id").join(ids, "doc_id")
+    texts = docs.join(need.select("doc_id"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(k, small), "doc_id long, set_id binary, set binary")
+    return written(sets.join(need, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set"), "sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs(a, b) whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    need = classes.select(F.col("rep").alias("doc_id"), "set_id").join(ids, "doc_id")
-    texts = docs.join(need.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(k), "doc_id long, set_id binary, set binary")
-    sets = written(sets.join(need, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set"), "sets")
+    sets = _sets_of(ids, docs, classes, k)
     both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b")
     return written(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long"), "verified")
 
@@ -213,9 +251,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     bands = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)]))
     banded = classes.select("rep", bands.alias("band", "key"))
-    stars = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "rep").alias("o"), "rep")).alias("c")).where("n > 1")
-    members = written(banded.join(stars.select("key", F.col("c.rep").alias("center")), "key"), "members")
-    pairs = members.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"), "rep").groupBy("a", "b").agg(F.min("rep").alias("rep"))
+    crowds = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(banded.join(crowds, "key"), "members")
+    weights = members.groupBy("rep").agg(F.sum("n").alias("w"))
+    stars = members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("nr"))).alias("c"))
+    centred = members.join(stars.select("key", (-F.col("c.nr")).alias("center")), "key")
+    pairs = centred.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"), "rep").groupBy("a", "b").agg(F.min("rep").alias("rep"))
     sigs = classes.select("rep", "sig")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -231,30 +272,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     tried = written(likeliest.select((-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b")).distinct(), "tried")
     sure = _verified(tried, docs, classes, k, percent)
     found = components(sure.union(same))
-    for _ in range(2):
-        degree = ends(sure).groupBy(F.col("x").alias("rep")).agg(F.count("*").alias("d"))
-        held = members.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").join(degree, "rep", "left")
-        held = written(held.select("key", "rep", F.coalesce("component_id", "rep").alias("comp"), F.coalesce("d", F.lit(0)).alias("d")), "held")
-        hub = held.groupBy("key").agg(F.max(F.struct("d", (-F.col("rep")).alias("nr"), "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and h.d > 0")
-        rays = held.join(hub.select("key", (-F.col("h.nr")).alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
-        rays = rays.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = written(alike(rays).select("a", "b"), "rays")
-        tried = tried.union(new)
-        sure = sure.union(_verified(new, docs, classes, k, percent))
-        found = components(sure.union(same))
+    degree = ends(sure).groupBy(F.col("x").alias("rep")).agg(F.count("*").alias("d"))
+    held = members.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").join(degree, "rep", "left")
+    held = written(held.select("key", "rep", F.coalesce("component_id", "rep").alias("comp"), F.coalesce("d", F.lit(0)).alias("d")), "held")
+    hub = held.groupBy("key").agg(F.max(F.struct("d", (-F.col("rep")).alias("nr"), "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and h.d > 0")
+    rays = held.join(hub.select("key", (-F.col("h.nr")).alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
+    rays = rays.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    new = written(alike(rays).select("a", "b"), "rays")
+    tried = tried.union(new)
+    sure = sure.union(_verified(new, docs, classes, k, percent))
+    found = components(sure.union(same))
 
     # what one bucket holds but no link has joined yet
     held = members.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("key", "band", "rep", F.coalesce("component_id", "rep").alias("comp"))
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
     open_ = written(held.join(sizes.select("key", F.col("n").alias("rows"), (F.col("n") - F.col("top.n")).alias("left"), F.col("top.comp").alias("top")), "key"), "open")
-    open_ = open_.join(sigs, "rep").withColumn("major", F.col("comp") == F.col("top"))
+    small = _sets_of(open_.select(F.col("rep").alias("doc_id")).distinct(), docs, classes, k, small=True)
+    open_ = open_.join(sigs, "rep").join(small.withColumnRenamed("doc_id", "rep"), "rep").withColumn("major", F.col("comp") == F.col("top"))
     nq, nt = F.ceil(F.col("left") / block).cast("int"), F.ceil(F.col("rows") / (4 * block)).cast("int")
-    row = ("key", "band", "rep", "comp", "major", "sig")
+    row = ("key", "band", "rep", "comp", "major", "sig", "set")
     asks = open_.where("not major").select(*row, F.pmod(F.xxhash64("rep"), nq).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), nt - 1)).alias("tb"), F.lit(True).alias("query"))
     targets = open_.select(*row, F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"), F.pmod(F.xxhash64("rep"), nt).cast("int").alias("tb"), F.lit(False).alias("query"))
     cells = asks.unionByName(targets).repartition("key", "qb", "tb").sortWithinPartitions("key", "qb", "tb")
-    more = written(cells.mapInArrow(_cells(t, miss), "a long, b long").distinct(), "more").join(tried, ["a", "b"], "left_anti")
+    more = written(cells.mapInArrow(_cells(percent, miss), "a long, b long").distinct(), "more").join(tried, ["a", "b"], "left_anti")
     links = _verified(written(more, "cross"), docs, classes, k, percent).union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
     found = components(links)
 
