@@ -171,7 +171,8 @@ def fit_kfold(df: DataFrame, x, y, strategy: str | int = "balanced", bound: str
     """The lowest degree within the score's distance of the best mean score over
     contiguous folds along the order (default: x, then y); then all rows are fitted.
 
-    Fold moments come from one pass; training moments are all minus the fold's.
+    Fold moments come from one pass; training moments are all minus the fold's. With
+    every row a fold, errors come from leverages instead, so nothing is kept a row.
     """
     from .scores import score_of
 
@@ -182,6 +183,8 @@ def fit_kfold(df: DataFrame, x, y, strategy: str | int = "balanced", bound: str
     top = degree_cap(n - -(-n // folds), bound)
     if not mm.has_moments(fam):
         raise NoModel(f"{fam.name} can't be cross-validated by moments")
+    if folds == n:
+        return _leave_one_out(pts.select("_x", "_y"), fam, top, n, lo, hi, method, df, x, y)
     rows = with_index(pts, *(("_o",) if order is not None else ("_x", "_y")))
     rows = rows.withColumn("_f", fold_of(F.col("_i"), n, folds)).select("_f", "_x", "_y")
     sums = mm.moment_sums(rows, fam, top, lo, hi, ["_f"]).collect()  # one row a fold
@@ -197,6 +200,30 @@ def fit_kfold(df: DataFrame, x, y, strategy: str | int = "balanced", bound: str
     return _made(_Nested(pts.select("_x", "_y"), fam, best, n, lo, hi), best, df, x, y)
 
 
+def _leave_one_out(pts: DataFrame, fam: Basis, top: int, n: int, lo: float, hi: float, method, df: DataFrame, x, y) -> Fit:
+    """The error of a row left out is its residual over one less its leverage; of a
+    single row, root mean square and mean absolute error are both its size, and
+    robust scores see no spread."""
+    from .predict import form_column
+    from .stats import EPS
+
+    nested = _Nested(pts, fam, top, n, lo, hi)
+    curves = {d: nested.curve(d) for d in range(top + 1)}
+    aggs = []
+    for d, c in curves.items():
+        k = fam.k(d)
+        w = mm.change_of_basis(fam, k, lo, hi)
+        hat = form_column(c, w @ np.linalg.pinv(nested.gram[:k, :k]) @ w.T, F.col("_x"))
+        left = F.greatest(F.lit(1.0) - hat, F.lit(EPS))
+        aggs.append(F.avg(F.abs(F.col("_y") - c.column(F.col("_x"))) / left).alias(f"e{d}"))
+    *sizes, y_lo, y_hi = pts.agg(*aggs, F.min("_y"), F.max("_y")).first()
+    base = getattr(method, "base", method)
+    scores = {d: base.of_residuals(1, c.k, e, e, 0.0) for (d, c), e in zip(curves.items(), sizes)}
+    if base is not method:
+        scores = {d: s + method.penalty(curves[d], n, y_hi - y_lo) for d, s in scores.items()}
+    return _made(nested, _choose(scores, method.distance), df, x, y)
+
+
 def fit_weighted(f: Callable, lo: float, hi: float, degree: int, family: str | Basis = "chebyshev") -> Curve:
     """Fits a function sampled at Gauss nodes, weighted by the family's weight."""
     fam = basis(family)

@@ -61,6 +61,9 @@ class Uncertain:
         d = z_score(level) * self.std_dev
         return self.mean - d, self.mean + d
 
+    def __str__(self) -> str:
+        return f"{self.mean:g} ± {self.std_dev:g}"
+
     @classmethod
     def of(cls, values) -> Uncertain:
         v = np.asarray(values, float)
@@ -91,9 +94,13 @@ def prediction_variance(f: Fit, x: float) -> float:
 
 
 def variance_column(f: Fit, x: Column) -> Column:
-    """phi' C phi. It is a function of the doubled degree for polynomials, so it is
-    one more curve; other families sum over the factor of C."""
-    cov, c = covariance(f), f.curve
+    """Variance of the fitted value."""
+    return form_column(f.curve, covariance(f), x)
+
+
+def form_column(c: Curve, cov: np.ndarray, x: Column) -> Column:
+    """phi' C phi of the curve's functions. It is a function of the doubled degree for
+    polynomials, so it is one more curve; other families sum over the factor of C."""
     if c.family.kind == "polynomial":
         k2 = 2 * c.k - 1
         if c.x_max > c.x_min:

@@ -98,6 +98,24 @@ def test_kfold_equals_refits_by_numpy(wavy):
     assert f.degree == int(np.argmin(mean))
 
 
+@pytest.mark.parametrize("family", ["chebyshev", "logarithmic", "fourier"])
+def test_leaving_one_out_equals_refits(spark, family):
+    rng = np.random.default_rng(8)
+    df = series(spark, np.linspace(1, 9, 40), lambda x: 2 + math.sin(x) + rng.normal(0, 0.1))
+    f = ft.fit_kfold(df, "x", "y", "leave_one_out", 3, "mae", family)
+    rows = np.array([(r.x, r.y) for r in df.collect()])
+    fam = f.curve.family
+    dom, mean = fam.domain(1, 9), []
+    for d in range(ft.degree_cap(39, 3) + 1):
+        a, err = fam.design(rows[:, 0], fam.k(d), dom), []
+        for i in range(40):
+            c = np.linalg.lstsq(np.delete(a, i, 0), np.delete(rows[:, 1], i), rcond=None)[0]
+            err.append(abs(rows[i, 1] - a[i] @ c))
+        mean.append(np.mean(err))
+    assert f.degree == int(np.argmin(mean))
+    assert ft.fit_kfold(df, "x", "y", "leave_one_out", 3, Shape(curvature=1e6), family).degree <= f.degree if family == "chebyshev" else True
+
+
 def test_shape_constraint_prefers_a_rising_curve(spark):
     df = series(spark, np.linspace(0, 6, 200), lambda x: x + 1.5 * math.sin(2 * x))
     free = ft.fit_auto(df, "x", "y", 9, "rmse")
@@ -143,6 +161,13 @@ def test_student_and_normal_scores():
     assert pr.Uncertain.of([1, 2, 3]).band(0.95)[0] == pytest.approx(2 - 1.959 * math.sqrt(2 / 3))
 
 
+def test_texts_of_results():
+    from loomfit.plans.calculus import Root, Turn
+
+    assert str(pr.Uncertain(2, 0.5)) == "2 ± 0.5" and str(Turn("minimum", 1, -2)) == "minimum at (1, -2)"
+    assert str(Root("real", 1.5, 0)) == "1.5" and str(Root("complex_pair", -1, 2)) == "-1 ± 2i"
+
+
 def test_guarded_prediction(wavy):
     f = ft.fit(wavy, "x", "y", 2)
     with pytest.raises(OutOfRange):
