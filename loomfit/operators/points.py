@@ -5,6 +5,7 @@ Rows whose x or y is null or not finite take no part in fits and statistics.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,22 @@ def x_range(pts: DataFrame) -> tuple[int, float, float]:
     return n, lo, hi
 
 
+MOST_BUCKETS = 4096
+
+
+def below(c: Column, cuts: Sequence, kind) -> Column:
+    """How many of the rising cuts lie below a value, in two short scans: of every
+    step-th cut, then of the cuts between two of those."""
+    step = math.ceil(math.sqrt(len(cuts)))
+    lit = lambda v: F.lit(v).cast(kind)
+    runs = [list(cuts[i : i + step]) for i in range(0, len(cuts), step)]
+    fine = F.array(*[F.array(*[lit(v) for v in run]) for run in runs])
+    if len(runs) == 1:
+        return F.size(F.filter(F.get(fine, F.lit(0)), lambda e: e < c))
+    run = F.size(F.filter(F.array(*[lit(r[0]) for r in runs[1:]]), lambda e: e < c))
+    return run * step + F.size(F.filter(F.get(fine, run), lambda e: e < c))
+
+
 def with_index(df: DataFrame, *order: str, into: str = "_i", rows_a_bucket: int = 1_000_000, keys: Sequence[str] = ()) -> DataFrame:
     """A row number from 0 along the order columns (within each key, if given) without
     sorting all rows, or all rows of a key, in one task: rows are cut into buckets at
@@ -51,14 +68,14 @@ def with_index(df: DataFrame, *order: str, into: str = "_i", rows_a_bucket: int
     first = order[0]
     n = df.count()
     cuts = []
+    rows_a_bucket = max(rows_a_bucket, n // MOST_BUCKETS)
     if n > rows_a_bucket:
         shares = [i * rows_a_bucket / n for i in range(1, -(-n // rows_a_bucket))]
         cuts = sorted({c for c in df.agg(F.percentile_approx(F.col(first), F.array(*[F.lit(s) for s in shares]), F.lit(10_000))).first()[0] or []})
     own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)).cast("long") - 1
     if not cuts:
         return df.withColumn("_bucket", F.lit(0)).withColumn(into, own).drop("_bucket")
-    edges = F.array(*[F.lit(c).cast(df.schema[first].dataType) for c in cuts])
-    rows = df.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col(first))))
+    rows = df.withColumn("_bucket", below(F.col(first), cuts, df.schema[first].dataType))
     counts = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_kb")).count()
     before = F.sum("count").over(Window.partitionBy(*[f"_k_{k}" for k in keys] or [F.lit(0)]).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("count")  # a row for each key and bucket

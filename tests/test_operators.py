@@ -226,6 +226,15 @@ def test_smoothing_in_blocks_equals_one_window(spark):
     assert np.allclose(a, b) and len(b) == 500
 
 
+def test_counting_cuts_below(spark):
+    from loomfit.operators.points import below
+
+    for n in (1, 2, 5, 9, 10, 37):
+        cuts = [3 * i + 1 for i in range(n)]
+        rows = spark.range(-2, 3 * n + 4).select("id", below(F.col("id"), cuts, "long").alias("b")).collect()
+        assert all(r.b == sum(c < r.id for c in cuts) for r in rows)
+
+
 def test_a_long_key_is_cut_into_blocks(spark):
     df = spark.range(900).selectExpr("id as x", "if(id % 3 = 0, 'hot', if(id % 5 = 0, null, 'b')) as k", "sin(id / 7.0) as y")
     whole = tr._windowed(df, ["x"], ["k"], 2, lambda w, _: F.avg("y").over(w.rowsBetween(-2, 2)))
