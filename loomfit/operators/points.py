@@ -79,7 +79,7 @@ def with_index(df: DataFrame, *order: str, into: str = "_i", rows_a_bucket: int
     counts = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_kb")).count()
     before = F.sum("count").over(Window.partitionBy(*[f"_k_{k}" for k in keys] or [F.lit(0)]).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("count")  # a row for each key and bucket
-    same = F.col("_bucket") == F.col("_kb")
+    same = F.col("_bucket").eqNullSafe(F.col("_kb"))  # with ==, the optimizer carries the bucket's lambdas to the other side
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     both = rows.withColumn(into, own).join(starts, same)
