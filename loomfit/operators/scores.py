@@ -20,6 +20,7 @@ class Score:
 
     distance = 0.0
     needs_huber = False
+    rows_in_memory = 2_000_000  # up to which medians of folds are taken by one aggregate
 
     def of_residuals(self, n: int, k: int, mae: float, rmse: float, huber: float) -> float:
         raise NotImplementedError
@@ -65,10 +66,20 @@ class Score:
         res = rows.select("_f", *cols)
         r = {d: F.col(f"_r{d}") for d in curves}
         if self.needs_huber:
-            med = {x["_f"]: x for x in res.groupBy("_f").agg(*[F.median(F.abs(c)).alias(f"m{d}") for d, c in r.items()]).collect()}
+            large = sum(sizes.values()) > self.rows_in_memory
+
+            def fold_medians(value) -> dict[int, dict[str, float]]:
+                if not large:
+                    return {x["_f"]: x.asDict() for x in res.groupBy("_f").agg(*[F.median(value(d)).alias(f"m{d}") for d in r]).collect()}
+                return {f: {f"m{d}": v for d, v in zip(r, stats.medians(res.where(F.col("_f") == f), [value(d) for d in r], n))} for f, n in sizes.items()}
+
+            res = res.persist() if large else res  # each fold is read several times; partitions that don't fit go to disk
             pick = lambda t, d: F.get(F.array(*[F.lit(float(t[f][f"m{d}"])) if f in t else F.lit(0.0) for f in range(max(t) + 1)]), F.col("_f"))
-            mad = {x["_f"]: x for x in res.groupBy("_f").agg(*[F.median(F.abs(F.abs(c) - pick(med, d))).alias(f"m{d}") for d, c in r.items()]).collect()}
+            med = fold_medians(lambda d: F.abs(r[d]))
+            mad = fold_medians(lambda d: F.abs(F.abs(r[d]) - pick(med, d)))
             got = res.groupBy("_f").agg(*[F.avg(stats.huber(c, stats.HUBER * pick(mad, d))).alias(f"h{d}") for d, c in r.items()]).collect()
+            if large:
+                res.unpersist()
             return {d: [self.of_residuals(sizes[x["_f"]], curves[d][x["_f"]].k, math.nan, math.nan, x[f"h{d}"]) for x in got] for d in curves}
         got = res.groupBy("_f").agg(*[a for d, c in r.items() for a in (F.avg(F.abs(c)).alias(f"a{d}"), F.sqrt(F.avg(c * c)).alias(f"s{d}"))]).collect()
         return {d: [self.of_residuals(sizes[x["_f"]], curves[d][x["_f"]].k, x[f"a{d}"], x[f"s{d}"], math.nan) for x in got] for d in curves}

@@ -98,6 +98,15 @@ def test_kfold_equals_refits_by_numpy(wavy):
     assert f.degree == int(np.argmin(mean))
 
 
+def test_robust_scores_of_folds_do_not_depend_on_how_medians_are_taken(wavy, monkeypatch):
+    from loomfit.operators.scores import Aic
+
+    a = ft.fit_kfold(wavy, "x", "y", 5, 4, "aic")
+    monkeypatch.setattr(Aic, "rows_in_memory", 10)
+    b = ft.fit_kfold(wavy, "x", "y", 5, 4, "aic")
+    assert a.degree == b.degree and a.curve == b.curve
+
+
 @pytest.mark.parametrize("family", ["chebyshev", "logarithmic", "fourier"])
 def test_leaving_one_out_equals_refits(spark, family):
     rng = np.random.default_rng(8)
