@@ -31,20 +31,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a doc_id stay as they are."""
     gone = near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
-    return left.withColumn("_first", first).where("_first = 1 or doc_id is null").drop("_first")
+    # rows without a doc_id are groups of their own, so that they don't meet in one task
+    left = left.withColumn("_own", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("text", "source", "lang", "n_chars"))
+    return left.withColumn("_first", first).where("_first = 1").drop("_first", "_own")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass of the mix over a document, in training order; documents
     of which the mix takes nothing go."""
-    docs = docs.withColumn("_t", F.xxhash64("text"))
-    key = ("doc_id", "source", "_t")
-    mixed = mix_sources(docs, carry=("_t",)).where("taken > 0")
-    passes = mixed.groupBy(*key).agg(F.flatten(F.collect_list("positions")).alias("_at")).select(*[F.col(c).alias(f"_k{c}") for c in key], "_at")
-    whole = docs.dropDuplicates(list(key))
-    both = whole.join(passes, (F.col("doc_id").eqNullSafe(F.col("_kdoc_id"))) & (F.col("source").eqNullSafe(F.col("_ksource"))) & (F.col("_t") == F.col("_k_t")))
-    rows = both.select(*[c for c in docs.columns if c != "_t"], F.explode("_at").alias("_position"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())  # docs is a table, so this is the same in both places
+    passes = mix_sources(numbered, carry=("_row",)).where("taken > 0").select(F.col("_row").alias("_of"), "positions")
+    both = numbered.join(passes, F.col("_row") == F.col("_of"))
+    rows = both.select(*docs.columns, F.explode("positions").alias("_position"))
     return rows.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hashed_sample, written
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -214,7 +214,7 @@ def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec
     n = entries.count()
     if n == 0:
         return vectors.sparkSession.createDataFrame([], schema)
-    x = np.array([r["v"] for r in entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()])
+    x = np.array([r["v"] for r in hashed_sample(entries.select("v"), sample, "v").collect()])
     k = max(1, min(n // list_size, len(x) // 8))
     graph = CentroidGraph(train_centroids(x, k))
     placed = written(entries.select(F.col("entry").alias("vec_id"), "v").mapInArrow(_choose(graph, replicas, replica_ratio), "vec_id long, v array<double>, list int"), "lists")

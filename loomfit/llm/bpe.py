@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches, top_levels, written
+
 #: Java spells the public pattern's \s (any Unicode white space) as a property.
 _WS = r"\p{IsWhite_Space}"
 
@@ -115,9 +117,11 @@ class Bpe:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
     def dictionary(self, docs: DataFrame, most: int, longest: int = 48) -> dict[str, list[int]]:
-        """The most frequent distinct words of all documents and their ids."""
+        """The most frequent distinct words of all documents (whole levels of equal
+        counts, from the top) and their ids."""
         word = docs.select(F.explode(self.words(F.col("text"))).alias("word"))
-        top = word.groupBy("word").count().where((F.length(F.col("word").cast("binary")) <= longest) & (F.length("word") > 1)).orderBy(F.col("count").desc(), "word").limit(most)
+        counts = word.groupBy("word").count().where((F.col("count") > 1) & (F.length(F.col("word").cast("binary")) <= longest) & (F.length("word") > 1))
+        top = top_levels(written(counts, "words"), "count", most)
         # here the rank map is a literal table of one row, as a literal in the plan would be
         # copied into every description that the driver keeps; its size is the rank file's
         spark = docs.sparkSession
@@ -186,7 +190,7 @@ class _Memo(dict):
     """Packed ids of words, in two generations: when the young one is full it becomes
     the old one, and words in use come back from there."""
 
-    BOUND = 1 << 18
+    BOUND = 1 << 16
 
     def __init__(self, ranks, dictionary):
         super().__init__()
@@ -231,5 +235,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, dictionary:
     ranks = load_ranks(ranks_path)
     bpe = Bpe(ranks, pattern)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     known = bpe.dictionary(docs, dictionary) if dictionary else {}
-    return docs.mapInArrow(_encoder(ranks, pattern, known), "doc_id long, ids array<int>, decoded binary")
+    return docs.mapInArrow(lean(_encoder(ranks, pattern, known)), "doc_id long, ids array<int>, decoded binary")

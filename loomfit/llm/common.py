@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,55 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most about `size` bytes, so that long texts don't fill the
+    memory of JVM and worker at once; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > size:
+        spark.conf.set(key, str(size))
+
+
+def lean(run):
+    """A function for mapInArrow that gives freed memory back to the system at its
+    end: workers are kept for later stages, and would keep it."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return out
+
+
+def hashed_sample(df: DataFrame, most: int, *key: str, seed: int = 0) -> DataFrame:
+    """The `most` rows of least hash of the key. Rows far above the cut go before the
+    only sort, so one task sees about `most` rows, whatever the table's size."""
+    n = df.count()
+    h = F.xxhash64(F.lit(seed), *key)
+    share = min(1.0, (1.5 * most + 1000) / max(n, 1))
+    near = df if share >= 1 else df.where(h < F.lit(int(-(2**63) + share * 2**64)).cast("long"))
+    return near.orderBy(h, *key).limit(most)
+
+
+def top_levels(table: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows of the largest counts, by whole levels of (nearly) equal counts, at most
+    `most` rows: no sort, and the driver sees one row a level (a few thousand)."""
+    c = F.col(count)
+    level = F.when(c < 1000, c).otherwise(1000 + F.floor(F.log(c / 1000.0) * 100)).cast("int")
+    held, cut = 0, None
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > most:
+            break
+        cut = r["level"]
+    return table.where(level >= cut) if cut is not None else table.limit(0)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -3,7 +3,7 @@
 Counts come from every training document: words, then pairs and triples of the
 ``vocabulary`` most frequent words, summed in Spark after a partial sum in each
 batch. The trie holds pairs and triples seen at least ``least`` times, at most
-``ngrams`` a level. A level is a monotone Elias-Fano sequence of word ids, each
+``ngrams`` a level (both bounds take whole levels of equal counts, from the top). A level is a monotone Elias-Fano sequence of word ids, each
 range of siblings raised by the last value of the range before, so that a child
 is found by a successor search relative to its context; pointers to children are
 Elias-Fano too. Probabilities are interpolated with absolute discounting and
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod_col, parallelism, written
+from .common import crc_mod_col, parallelism, top_levels, written
 from .shingles import mixed
 
 END = b""
@@ -235,10 +235,24 @@ def tokens(text: str | None) -> list[bytes]:
     return w
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 25) -> Iterator[list]:
+    """Texts of several batches together, so that sums of a call don't depend on their size."""
+    held, size = [], 0
     for b in batches:
-        c: Counter = Counter()
         for text in b.column("text").to_pylist():
+            held.append(text)
+            size += len(text or "")
+            if size > chars:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts in _texts(batches):
+        c: Counter = Counter()
+        for text in texts:
             c.update(tokens(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
 
@@ -300,10 +314,9 @@ def _merged(least: int, hold: int = 1 << 22):
 
 def _count_pairs(ids: dict[bytes, int], m: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                u, w, *_ = _contexts(b.column("text").to_pylist(), ids, m - 1)
-                yield _packed((u * m + w)[(u >= 0) & (w >= 0)], buckets)
+        for texts in _texts(batches):
+            u, w, *_ = _contexts(texts, ids, m - 1)
+            yield _packed((u * m + w)[(u >= 0) & (w >= 0)], buckets)
 
     return run
 
@@ -318,24 +331,23 @@ def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _count_triples(ids: dict[bytes, int], m: int, pairs, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = pairs.value
-        for b in batches:
-            if b.num_rows:
-                u, w, first, *_ = _contexts(b.column("text").to_pylist(), ids, m - 1)
-                at = np.full(len(w), -1)
-                both = np.flatnonzero((u >= 0) & (w >= 0))
-                at[both] = _place(keys, u[both] * m + w[both])
-                before = np.append(-1, at[:-1])  # the pair that the token before ended
-                before[first] = -1
-                ok = (at >= 0) & (before >= 0)
-                yield _packed(before[ok] * m + w[ok], buckets)
+        for texts in _texts(batches):
+            u, w, first, *_ = _contexts(texts, ids, m - 1)
+            at = np.full(len(w), -1)
+            both = np.flatnonzero((u >= 0) & (w >= 0))
+            at[both] = _place(keys, u[both] * m + w[both])
+            before = np.append(-1, at[:-1])  # the pair that the token before ended
+            before[first] = -1
+            ok = (at >= 0) & (before >= 0)
+            yield _packed(before[ok] * m + w[ok], buckets)
 
     return run
 
 
 def _top(runs: DataFrame, parts: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys, sorted, and counts; at most `most` rows of two numbers come to the driver."""
-    sums = runs.repartition(parts, "bucket").mapInArrow(_merged(least), "key long, c long")
-    kept = sums.orderBy(F.desc("c"), "key").limit(most).toArrow()
+    sums = written(runs.repartition(parts, "bucket").mapInArrow(_merged(least), "key long, c long"), "ngrams")
+    kept = top_levels(sums, "c", most).toArrow()
     key, c = kept.column("key").to_numpy(), kept.column("c").to_numpy()
     order = np.argsort(key)
     return key[order], c[order]
@@ -372,7 +384,8 @@ def train(docs: DataFrame, words: DataFrame, vocabulary: int, ngrams: int, least
     spark = docs.sparkSession
     sums = words.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(sums[0] or 0), int(sums[1])
-    top = words.where((F.length("word") <= 64) & (F.length("word") > 0)).orderBy(F.desc("c"), "word").limit(vocabulary).collect()
+    top = top_levels(words.where((F.length("word") <= 64) & (F.length("word") > 0)), "c", vocabulary).collect()
+    top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     end = words.where(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
     ids = {bytes(r["word"]): i for i, r in enumerate(top)} | {END: len(top)}
     m = len(top) + 2

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, lean, written
 from .shingles import WordHashes, set_id, shingle_set
 
 BANDS, ROWS, BATCH = 32, 4, 32
@@ -225,7 +225,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int, small:
     """(doc_id, set) of representatives ids(doc_id)."""
     need = classes.select(F.col("rep").alias("doc_id"), "set_id").join(ids, "doc_id")
     texts = docs.join(need.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(k, small), "doc_id long, set_id binary, set binary")
+    sets = texts.mapInArrow(lean(_sets(k, small)), "doc_id long, set_id binary, set binary")
     return written(sets.join(need, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set"), "sets")
 
 
@@ -234,14 +234,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = _sets_of(ids, docs, classes, k)
     both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b")
-    return written(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long"), "verified")
+    return written(both.select("a", "b", "xa", "xb").mapInArrow(lean(_confirm(percent)), "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     t = percent / 100
-    signed = written(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, set_id binary, sig binary"), "signed")
+    signed = written(docs.mapInArrow(lean(_signed(k)), "doc_id long, n_shingles long, set_id binary, sig binary"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     # a doc_id whose rows have different sets joins their classes
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     asks = open_.where("not major").select(*row, F.pmod(F.xxhash64("rep"), nq).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), nt - 1)).alias("tb"), F.lit(True).alias("query"))
     targets = open_.select(*row, F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"), F.pmod(F.xxhash64("rep"), nt).cast("int").alias("tb"), F.lit(False).alias("query"))
     cells = asks.unionByName(targets).repartition("key", "qb", "tb").sortWithinPartitions("key", "qb", "tb")
-    more = written(cells.mapInArrow(_cells(percent, miss), "a long, b long").distinct(), "more").join(tried, ["a", "b"], "left_anti")
+    more = written(cells.mapInArrow(lean(_cells(percent, miss)), "a long, b long").distinct(), "more").join(tried, ["a", "b"], "left_anti")
     links = _verified(written(more, "cross"), docs, classes, k, percent).union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
     found = components(links)
 

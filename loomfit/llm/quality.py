@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample, lean, small_batches
+
 TEXT_WIDTH, META_WIDTH = 262, 160
 _GOOD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:'-\n") | frozenset(range(128, 256))
 
@@ -131,16 +133,23 @@ def _views(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
+    small_batches(docs.sparkSession)
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("quality"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks = hashed_sample(marks, sample, "doc_id")
     # rows of two numbers, at most 2 * sample of them: safe to broadcast
-    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
+    pool = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    pool = hashed_sample(pool, sample, "doc_id", seed=3)
     asked = marks.unionByName(pool.withColumn("quality", F.lit(None).cast("double"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    got = _views(docs).join(F.broadcast(asked), "doc_id").mapInArrow(_features, "doc_id long, quality double, t binary, m binary").toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
+    got = _views(docs).join(F.broadcast(asked), "doc_id").mapInArrow(lean(_features), "doc_id long, quality double, t binary, m binary")
+    # one row a doc_id, however many rows share it
+    got = got.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.struct("t", "m")).alias("f")).select("doc_id", "quality", "f.t", "f.m").toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
     y = got.column("quality").to_numpy()
     x = [np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(-1, n) for c, n in (("t", TEXT_WIDTH), ("m", META_WIDTH))]
     known = ~np.isnan(y.astype(float))
-    return co_train([v[known] for v in x], y[known].astype(float), [v[~known] for v in x])
+    model = co_train([v[known] for v in x], y[known].astype(float), [v[~known] for v in x])
+    del got, x
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _score(model: Model):
@@ -159,7 +168,7 @@ def _score(model: Model):
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 8000, reject: float = 0.5) -> DataFrame:
     """(doc_id, score, text_score, meta_score, kept), a row for each row of docs."""
     model = train(docs, labels, sample)
-    out = _views(docs).mapInArrow(_score(model), "doc_id long, score double, text_score double, meta_score double")
+    out = _views(docs).mapInArrow(lean(_score(model)), "doc_id long, score double, text_score double, meta_score double")
     return out.withColumn("kept", F.col("score") >= reject)
 
 
@@ -177,4 +186,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 8000, reject: fl
                 m = np.stack([meta_features(*x) for x in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))])
                 yield part.filter(pa.array(model.scores([t, m])[0] >= reject))
 
-    return packed.mapInArrow(run, packed.schema)
+    return packed.mapInArrow(lean(run), packed.schema)

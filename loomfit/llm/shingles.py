@@ -13,7 +13,7 @@ _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """Hash of a word, remembered; forgets all when it grows past its bound."""
 
-    BOUND = 1 << 19
+    BOUND = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod_col, written
+from .common import crc_mod_col, hashed_sample, written
 
 _BREAK = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 BLOCK = 64
@@ -150,8 +150,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = 20000, ter
     """(doc_id, held_out, score, predicted, evidence, cosines), a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(crc_mod_col(F.col("doc_id"), held_of) != 0)
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    marks = F.broadcast(written(marks, "marks"))  # two numbers a row, at most `sample` rows
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = F.broadcast(written(hashed_sample(marks, sample, "doc_id"), "marks"))  # two numbers a row, at most `sample` rows
     seen = docs.join(marks, "doc_id").select("toxic", "text").dropDuplicates(["text"])  # copies are one witness
     held = written(seen.mapInArrow(_distinct, "toxic int, terms array<binary>").select("toxic", F.explode_outer("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")), "terms")
     sizes = seen.agg(F.count("*"), F.sum("toxic")).first()
