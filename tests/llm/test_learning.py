@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomfit.llm import lm, quality, toxicity
+from loomfit.llm import common, lm, quality, toxicity
 
 from . import cases
 
@@ -207,3 +207,45 @@ def test_isotonic_steps_rise():
     x = rng.random(300)
     at, p = toxicity.isotonic(x, (rng.random(300) < x).astype(float))
     assert (np.diff(at) > 0).all() and (p > 0).all() and (p < 1).all()
+
+
+# --- bounded choices
+
+
+def test_samples_by_hash_are_the_same_with_and_without_the_cut(spark):
+    df = spark.range(20000).withColumnRenamed("id", "doc_id")
+    got = [r.doc_id for r in common.hashed_sample(df, 300, "doc_id", seed=3).collect()]
+    want = [r.doc_id for r in df.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(300).collect()]
+    assert got == want
+    assert common.hashed_sample(df.limit(5), 300, "doc_id").count() == 5
+    assert common.hashed_sample(df.limit(0), 300, "doc_id").count() == 0
+
+
+def test_top_levels_take_whole_levels(spark):
+    df = spark.createDataFrame([(f"k{i}", c) for i, c in enumerate([5] * 3 + [4] * 2 + [2] * 10 + [10**6, 3000])], "k string, c long")
+    assert sorted(r.c for r in common.top_levels(df, "c", 8).collect()) == [4, 4, 5, 5, 5, 3000, 10**6]
+    assert common.top_levels(df, "c", 100).count() == 17 and common.top_levels(df, "c", 0).count() == 0
+    assert common.top_levels(df.limit(0), "c", 5).count() == 0
+
+
+def test_batch_bounds_only_shrink(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for start, want in (("64m", str(4 << 20)), ("1m", "1m")):
+            spark.conf.set(key, start)
+            common.small_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_counts_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    texts = [t for _, t in cases.awkward()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    small = [batch.slice(i, 3) for i in range(0, batch.num_rows, 3)]
+    assert [t for part in lm._texts(iter(small), 100) for t in part] == texts and len(list(lm._texts(iter([batch]), 1 << 30))) == 1
+    count = lambda b: sum((Counter(dict(zip(o.column("word").to_pylist(), o.column("c").to_pylist()))) for o in lm._count_words(iter(b))), Counter())
+    assert count(small) == count([batch])
