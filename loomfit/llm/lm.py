@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod_col, parallelism, top_levels, written
+from .common import crc_mod_col, lean, parallelism, small_batches, top_levels, written
 from .shingles import mixed
 
 END = b""
@@ -235,8 +235,8 @@ def tokens(text: str | None) -> list[bytes]:
     return w
 
 
-def _texts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 25) -> Iterator[list]:
-    """Texts of several batches together, so that sums of a call don't depend on their size."""
+def _texts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 23) -> Iterator[list]:
+    """Texts in spans of a bounded size, whatever the size of the batches."""
     held, size = [], 0
     for b in batches:
         for text in b.column("text").to_pylist():
@@ -250,11 +250,14 @@ def _texts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 25) -> Iterator[
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts in _texts(batches):
-        c: Counter = Counter()
-        for text in texts:
+    c: Counter = Counter()
+    for texts in _then_end(_texts(batches)):
+        for text in texts or ():
             c.update(tokens(text))
+        if not c or texts is not None and len(c) < HELD:
+            continue
         yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
+        c = Counter()
 
 
 def _contexts(texts: list, ids: dict[bytes, int], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[bytes]]:
@@ -273,13 +276,38 @@ def _contexts(texts: list, ids: dict[bytes, int], begin: int) -> tuple[np.ndarra
     return u, w, first, sizes, ws
 
 
+HELD = 1 << 19  # distinct words or n-grams that a worker sums before it passes them on
 PACKED = "bucket int, keys binary, counts binary"
 
 
-def _packed(keys: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Distinct keys of a batch with their counts, dealt by hash into buckets: a few
+def _then_end(parts):
+    yield from parts
+    yield None
+
+
+def _added(runs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of several (keys, counts)."""
+    if len(runs) == 1:
+        return runs[0]
+    keys, at = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([r[1] for r in runs]), len(keys)).astype(np.int64)
+
+
+def _dealt(spans: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs the keys of a task's spans, summed as far as memory allows."""
+    runs: list = []
+    for keys in _then_end(spans):
+        if keys is not None and len(keys):
+            runs.append(np.unique(keys, return_counts=True))
+        if runs and (keys is None or sum(len(r[0]) for r in runs) > 4 * HELD):
+            runs = [_added(runs)]
+            if keys is None or len(runs[0][0]) > 2 * HELD:
+                yield _packed(*runs.pop(), buckets)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Distinct sorted keys with their counts, dealt by hash into buckets: a few
     rows of long sorted runs of differences, which shuffle in less room than rows."""
-    keys, counts = np.unique(keys, return_counts=True)
     bucket = (mixed(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     keys, counts = keys[order], counts[order].astype("<u4")
@@ -292,10 +320,6 @@ def _packed(keys: np.ndarray, buckets: int) -> pa.RecordBatch:
 def _merged(least: int, hold: int = 1 << 22):
     """Sums of the runs of a partition's buckets, from `least` on."""
 
-    def add(runs: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([r[1] for r in runs]), len(keys)).astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, size = [], 0
         for b in batches:
@@ -303,9 +327,9 @@ def _merged(least: int, hold: int = 1 << 22):
                 runs.append((np.cumsum(np.frombuffer(k, "<i8")), np.frombuffer(c, "<u4").astype(np.int64)))
                 size += len(runs[-1][0])
             if size > hold and len(runs) > 1:
-                runs, size = [add(runs)], 0
+                runs, size = [_added(runs)], 0
         if runs:
-            keys, counts = add(runs)
+            keys, counts = _added(runs)
             at = counts >= least
             yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(counts[at])], ["key", "c"])
 
@@ -314,9 +338,12 @@ def _merged(least: int, hold: int = 1 << 22):
 
 def _count_pairs(ids: dict[bytes, int], m: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(batches):
-            u, w, *_ = _contexts(texts, ids, m - 1)
-            yield _packed((u * m + w)[(u >= 0) & (w >= 0)], buckets)
+        def keys():
+            for texts in _texts(batches):
+                u, w, *_ = _contexts(texts, ids, m - 1)
+                yield (u * m + w)[(u >= 0) & (w >= 0)]
+
+        return _dealt(keys(), buckets)
 
     return run
 
@@ -330,16 +357,20 @@ def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _count_triples(ids: dict[bytes, int], m: int, pairs, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = pairs.value
-        for texts in _texts(batches):
-            u, w, first, *_ = _contexts(texts, ids, m - 1)
-            at = np.full(len(w), -1)
-            both = np.flatnonzero((u >= 0) & (w >= 0))
-            at[both] = _place(keys, u[both] * m + w[both])
-            before = np.append(-1, at[:-1])  # the pair that the token before ended
-            before[first] = -1
-            ok = (at >= 0) & (before >= 0)
-            yield _packed(before[ok] * m + w[ok], buckets)
+        known = pairs.value
+
+        def keys():
+            for texts in _texts(batches):
+                u, w, first, *_ = _contexts(texts, ids, m - 1)
+                at = np.full(len(w), -1)
+                both = np.flatnonzero((u >= 0) & (w >= 0))
+                at[both] = _place(known, u[both] * m + w[both])
+                before = np.append(-1, at[:-1])  # the pair that the token before ended
+                before[first] = -1
+                ok = (at >= 0) & (before >= 0)
+                yield before[ok] * m + w[ok]
+
+        return _dealt(keys(), buckets)
 
     return run
 
@@ -391,9 +422,9 @@ def train(docs: DataFrame, words: DataFrame, vocabulary: int, ngrams: int, least
     m = len(top) + 2
     counts = np.array([r["c"] for r in top] + [end, end], float)
     parts = parallelism(spark)
-    pairs = _top(docs.mapInArrow(_count_pairs(ids, m, 4 * parts), PACKED), parts, least, ngrams)
+    pairs = _top(docs.mapInArrow(lean(_count_pairs(ids, m, 4 * parts)), PACKED), parts, least, ngrams)
     keys = spark.sparkContext.broadcast(pairs[0])
-    triples = _top(docs.mapInArrow(_count_triples(ids, m, keys, 4 * parts), PACKED), parts, least, ngrams)
+    triples = _top(docs.mapInArrow(lean(_count_triples(ids, m, keys, 4 * parts)), PACKED), parts, least, ngrams)
     keys.unpersist()
     model = Model(ids, counts, total, distinct, None)
     model.blob = spark.sparkContext.broadcast(build_trie(counts, model.mass, m, pairs, triples).to_bytes())
@@ -426,12 +457,13 @@ def _score(model: Model):
 def lm_scores(docs: DataFrame, held_of: int = 10, vocabulary: int = 1 << 16, ngrams: int = 1 << 20, least: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     docs = docs.withColumn("held_out", crc_mod_col(F.col("doc_id"), held_of) == 0)
     fit = docs.where("not held_out").select("text")
-    words = written(fit.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    words = written(fit.mapInArrow(lean(_count_words), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     model = train(fit, words, vocabulary, ngrams, least)
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"
-    scored = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model), schema), "scored")
+    scored = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_score(model)), schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     log1 = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(model.mass))
     rare = rare.groupBy("row").agg(F.sum(log1).alias("log1"), F.count("c").alias("more"))

@@ -249,3 +249,21 @@ def test_counts_do_not_depend_on_batches():
     assert [t for part in lm._texts(iter(small), 100) for t in part] == texts and len(list(lm._texts(iter([batch]), 1 << 30))) == 1
     count = lambda b: sum((Counter(dict(zip(o.column("word").to_pylist(), o.column("c").to_pylist()))) for o in lm._count_words(iter(b))), Counter())
     assert count(small) == count([batch])
+
+
+def test_ngram_sums_do_not_depend_on_what_a_worker_holds(monkeypatch):
+    rng = np.random.default_rng(3)
+    spans = [rng.integers(0, 300, 400) * 70001 for _ in range(9)]
+
+    def total():
+        got: Counter = Counter()
+        for b in lm._dealt(iter(spans), 7):
+            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                for key, n in zip(np.cumsum(np.frombuffer(k, "<i8")).tolist(), np.frombuffer(c, "<u4").tolist()):
+                    got[key] += n
+        return got
+
+    want = Counter(np.concatenate(spans).tolist())
+    assert total() == want
+    monkeypatch.setattr(lm, "HELD", 50)
+    assert total() == want
