@@ -190,7 +190,7 @@ class _Memo(dict):
     """Packed ids of words, in two generations: when the young one is full it becomes
     the old one, and words in use come back from there."""
 
-    BOUND = 1 << 16
+    BOUND = 1 << 17
 
     def __init__(self, ranks, dictionary):
         super().__init__()
