@@ -1,18 +1,19 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Counts come from every training document: words, then pairs and triples of the
-``vocabulary`` most frequent words, summed in Spark after a partial sum in each
-batch. The trie holds pairs and triples seen at least ``least`` times, at most
-``ngrams`` a level (both bounds take whole levels of equal counts, from the top). A level is a monotone Elias-Fano sequence of word ids, each
-range of siblings raised by the last value of the range before, so that a child
-is found by a successor search relative to its context; pointers to children are
-Elias-Fano too. Probabilities are interpolated with absolute discounting and
-quantised to 16 bits, rounded down, so that the probabilities of a context never
-add up to more than one. Workers map the trie's file into memory.
-
-The last level of backing off is the exact smoothed word distribution over all
-training words; words outside the vocabulary are looked up by a join, so nothing
-is lost to the bounds above.
+The model holds every word, and every pair and triple seen at least ``least``
+times in the training documents, in tries sharded by context (``lmshards``). With
+``vocabulary`` or ``ngrams`` given it is one trie instead, of the most frequent
+words and at most ``ngrams`` pairs and triples a level (both bounds take whole
+levels of equal counts, from the top), which every worker maps whole; words
+outside that vocabulary are then looked up by a join.
+
+A level is a monotone Elias-Fano sequence of word ids, each range of siblings
+raised by the last value of the range before, so that a child is found by a
+successor search relative to its context; pointers to children are Elias-Fano
+too. Probabilities are interpolated with absolute discounting and quantised to 16
+bits, rounded down, so that the probabilities of a context never add up to more
+than one. Workers map a trie's file into memory. The last level of backing off is
+the exact smoothed word distribution over all training words.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 hashes as empty text; repeated rows count and are scored each; without training
@@ -454,11 +455,16 @@ def _score(model: Model):
     return run
 
 
-def lm_scores(docs: DataFrame, held_of: int = 10, vocabulary: int = 1 << 16, ngrams: int = 1 << 20, least: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, held_of: int = 10, vocabulary: int | None = None, ngrams: int | None = None, least: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
     docs = docs.withColumn("held_out", crc_mod_col(F.col("doc_id"), held_of) == 0)
+    if vocabulary is None and ngrams is None:
+        from .lmshards import whole_scores
+
+        return whole_scores(docs, least)
+    vocabulary, ngrams = vocabulary or 1 << 16, ngrams or 1 << 20
     fit = docs.where("not held_out").select("text")
     words = written(fit.mapInArrow(lean(_count_words), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     model = train(fit, words, vocabulary, ngrams, least)

@@ -267,3 +267,44 @@ def test_ngram_sums_do_not_depend_on_what_a_worker_holds(monkeypatch):
     assert total() == want
     monkeypatch.setattr(lm, "HELD", 50)
     assert total() == want
+
+
+def test_the_whole_model_holds_every_ngram(spark, monkeypatch):
+    """Against plain counts, without bounds; words of more than 64 bytes are in too."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "long" * 30, f"x{rng.randrange(60)}"]) for _ in range(rng.randrange(1, 60)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, rows[3][1]), (203, "never before seen words")]
+    # no fixed size of the bounded form cuts anything: a bound would show here
+    monkeypatch.setattr(common, "top_levels", None)
+    monkeypatch.setattr(lm, "top_levels", None)
+    out = {r.doc_id: r for r in lm.lm_scores(cases.docs(spark, rows)).collect()}
+    one, two, three, after, pair_after = Counter(), Counter(), Counter(), Counter(), Counter()
+    for i, text in rows:
+        w = lm.tokens(text)
+        if cases.crc(i, 10):
+            one.update(w)
+            for t, u, x in zip([None, "<s>", *w], ["<s>", *w], w):
+                two[u, x] += 1
+                three[t, u, x] += 1
+    total, d = sum(one.values()), 0.75
+    mass = total + 0.1 * (len(one) + 1)
+    pairs, triples = ({k: c for k, c in x.items() if c >= 2 and k[0] is not None} for x in (two, three))
+    for (u, _), c in two.items():
+        after[u] += c
+    left1, left2 = Counter(), Counter()
+    for (u, x), c in pairs.items():
+        left1[u] += (c - d) / after[u]
+    for (t, u, x), c in triples.items():
+        left2[t, u] += (c - d) / two[t, u]
+
+    def p(t, u, x):
+        p2 = max(0, two[u, x] - d) / after[u] * ((u, x) in pairs) if after[u] else 0
+        p2 += (1 - left1[u]) * (one[x] + 0.1) / mass
+        return (three[t, u, x] - d) / two[t, u] + (1 - left2[t, u]) * p2 if (t, u, x) in triples else (1 - left2[t, u]) * p2
+
+    assert len(out) == len(rows)
+    for i, text in rows:
+        w = lm.tokens(text)
+        want = sum(math.log10(p(*x)) for x in zip([None, "<s>", *w], ["<s>", *w], w))
+        assert out[i].score == pytest.approx(want, abs=0.002 * len(w)), i
+        assert out[i].base_score == pytest.approx(sum(math.log10((one[x] + 0.1) / mass) for x in w), rel=1e-9)
