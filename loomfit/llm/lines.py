@@ -4,7 +4,8 @@ A run is a written table (h, g, n_docs, last_doc) sorted by hash; ``LineRuns``
 keeps runs in levels, and ``fanout`` runs of a level are compacted into one of
 the next, so a key is rewritten a logarithmic number of times. A new batch is
 anti-joined against the runs (both sides sorted by hash, so Spark merges them)
-and adds its own run.
+and adds its own run. ``drop_lines`` takes its batches by falling doc_id: the
+keys of a batch that no earlier run holds have their last document in it.
 
 Defined results: a null or empty text is one empty line and stays as it is; a
 null doc_id counts as one document below all others; rows that share a doc_id
@@ -36,13 +37,22 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(7), key).alias("g"))
 
 
-def line_hashes(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
-    """(batch, doc_id, h, g): a row for each document and long line key; a
-    document is whole within one batch."""
+def _doc(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID))
+
+
+def falling(docs: DataFrame, batches: int) -> Column:
+    """Batch of a document: about as many documents in each, the largest doc_id in the first."""
+    shares = [i / batches for i in range(1, batches)]
+    bounds = docs.agg(F.percentile_approx(_doc(docs), shares, 1000)).first()[0] if shares else None
+    return sum((F.when(_doc(docs) < b, 1).otherwise(0) for b in sorted(set(bounds or []))), F.lit(0))
+
+
+def line_hashes(docs: DataFrame, min_chars: int, batch: Column) -> DataFrame:
+    """(batch, doc_id, h, g): a row for each document and long line key."""
     lines = F.filter(F.array_distinct(lines_of(F.col("text"))), lambda x: F.length(x) >= min_chars)
     keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(line_key(x)) >= min_chars), _hash))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    return docs.select(F.pmod(F.xxhash64(doc), F.lit(batches)).cast("int").alias("batch"), doc.alias("doc_id"), F.inline(keys))
+    return docs.select(batch.cast("int").alias("batch"), _doc(docs).alias("doc_id"), F.inline(keys))
 
 
 class LineRuns:
@@ -55,22 +65,26 @@ class LineRuns:
         return [r for level in self.levels.values() for r in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """Rows of keys(h, g, ...) whose key no run holds."""
+        """Rows of keys(h, g, ...) whose key no run of now holds."""
         for run in self.runs():
             keys = keys.join(run.select("h", "g").hint("merge"), ["h", "g"], "left_anti")
         return keys
 
-    def add(self, keys: DataFrame) -> None:
-        """Adds the run of a batch keys(doc_id, h, g) of documents not yet added."""
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Adds the run of a batch keys(doc_id, h, g) of documents not yet added, and
+        returns those of its rows whose key no run before it holds."""
         own = keys.select("h", "g", "doc_id").distinct().groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self._put(0, own)
+        run = written(own.sortWithinPartitions("h", "g"), "run0")
+        fresh = self.unseen(run)
+        self._put(0, run)
+        return fresh
 
-    def _put(self, level: int, rows: DataFrame) -> None:
+    def _put(self, level: int, run: DataFrame) -> None:
         held = self.levels.setdefault(level, [])
-        held.append(written(rows.sortWithinPartitions("h", "g"), f"run{level}"))
+        held.append(run)
         if len(held) >= self.fanout:
             self.levels[level] = []
-            self._put(level + 1, merged(held))
+            self._put(level + 1, written(merged(held).sortWithinPartitions("h", "g"), f"run{level + 1}"))
 
     def total(self) -> DataFrame:
         return merged(self.runs())
@@ -89,11 +103,12 @@ def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
     Keys found in at least min_docs documents lose their lines except in the
     largest doc_id that holds them.
     """
-    hashes = written(line_hashes(docs, min_chars, batches), "lines", "batch")
-    store = LineRuns()
+    hashes = written(line_hashes(docs, min_chars, falling(docs, batches)), "lines", "batch")
+    store, last = LineRuns(), None
     for b in range(batches):
-        store.add(hashes.where(F.col("batch") == b))
-    common = written(store.total().where(F.col("n_docs") >= min_docs).select("h", "g", "last_doc"), "common")
+        fresh = store.add(hashes.where(F.col("batch") == b)).select("h", "g", "last_doc")
+        last = fresh if last is None else last.union(fresh)
+    common = written(store.total().where(F.col("n_docs") >= min_docs).select("h", "g").join(last, ["h", "g"]), "common")
     lost = hashes.join(common, ["h", "g"]).where("doc_id < last_doc")
     lost = lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("h", "g")).alias("_lost"))
     both = docs.join(lost, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)) == F.col("_doc"), "left")
@@ -111,7 +126,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
 def dedup_increment(docs: DataFrame, store: LineRuns, min_chars: int = 20) -> DataFrame:
     """The first-come form: (doc_id, h, g) of lines of a new batch that no
     earlier batch had; the batch is then added to the runs."""
-    keys = written(line_hashes(docs, min_chars, 1).drop("batch"), "batch")
+    keys = written(line_hashes(docs, min_chars, F.lit(0)).drop("batch"), "batch")
     fresh = written(store.unseen(keys), "fresh")
     store.add(keys)
     return fresh

@@ -151,3 +151,21 @@ def test_the_same_lines_under_any_number_of_batches(spark):
     rows = cases.awkward()
     a, b = (ln.drop_lines(cases.docs(spark, rows), batches=n).agg(F.sum(F.xxhash64("doc_id", "_text", "_n_dropped").cast("decimal(38,0)"))).first()[0] for n in (1, 7))
     assert a == b
+
+
+def test_each_batch_of_lines_is_anti_joined_against_the_runs(spark, monkeypatch):
+    line = "a line that several documents share"
+    rows = [(i, f"{line}\nline of document {i} alone, number {i}") for i in range(40)]
+    asked, plain = [], ln.LineRuns.unseen
+
+    def unseen(self, keys):
+        asked.append((len(self.runs()), plain(self, keys)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(ln.LineRuns, "unseen", unseen)
+    out = {r.doc_id: r._n_dropped for r in ln.drop_lines(cases.docs(spark, rows)).collect()}
+    assert out == {i: int(i < 39) for i in range(40)}
+    assert [n for n, _ in asked] == [0, 1, 2, 3]
+    owners = [[r.last_doc for r in f.collect()] for _, f in asked]
+    assert sorted(sum(owners, [])) == [*range(39), 39, 39]  # each key in one batch only, the shared one in the first
+    assert all(min(a) > max(b) for a, b in zip(owners, owners[1:]))
