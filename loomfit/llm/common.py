@@ -30,6 +30,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if got.isDefined():
             at = got.get()
         else:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             at = "file://" + tempfile.mkdtemp(prefix="loomfit-")
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -47,7 +49,16 @@ def written(df: DataFrame, name: str = "t", partition_by: str | None = None) ->
         (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     finally:
         spark.conf.set(_CLEAN, old)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._loomfit_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that `written` made, once nothing will read it again."""
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._loomfit_path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -78,13 +89,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, "links")
-    label = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("l")), "labels")
+    label = table = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("l")), "labels")
     for _ in range(max_rounds):
         near = both.join(label.select(F.col("id").alias("b"), "l"), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("m"))
         step = label.join(near, "id").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = label.select(F.col("id").alias("l"), F.col("l").alias("ll"))
         new = written(step.join(jump, "l", "left").select("id", "old", F.least("l", "ll").alias("l")), "labels")
+        discard(table)
+        table = new
         if new.where("l <> old").limit(1).count() == 0:
+            discard(both)
             return new.select("id", F.col("l").alias("component_id"))
         label = new.select("id", "l")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -126,17 +140,21 @@ def hashed_sample(df: DataFrame, most: int, *key: str, seed: int = 0) -> DataFra
 
 
 def top_levels(table: DataFrame, count: str, most: int) -> DataFrame:
-    """Rows of the largest counts, by whole levels of (nearly) equal counts, at most
-    `most` rows: no sort, and the driver sees one row a level (a few thousand)."""
+    """Rows of the largest counts, by whole levels of (nearly) equal counts; of the
+    level that does not fit, a share by hash, so that about `most` rows remain. No
+    sort, and the driver sees one row a level (a few thousand)."""
+    if most <= 0:
+        return table.limit(0)
     c = F.col(count)
     level = F.when(c < 1000, c).otherwise(1000 + F.floor(F.log(c / 1000.0) * 100)).cast("int")
-    held, cut = 0, None
+    held, cut, share = 0, -1, 1.0
     for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
-        held += r["n"]
-        if held > most:
+        if held >= most:
             break
-        cut = r["level"]
-    return table.where(level >= cut) if cut is not None else table.limit(0)
+        cut, share = r["level"], min(1.0, (most - held) / r["n"])
+        held += r["n"]
+    bucket = F.pmod(F.xxhash64(*table.columns), F.lit(1 << 20))
+    return table.where((level > cut) | ((level == cut) & (bucket < F.lit(int(share * (1 << 20))))))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -10,7 +10,9 @@ keys of a batch that no earlier run holds have their last document in it.
 Defined results: a null or empty text is one empty line and stays as it is; a
 null doc_id counts as one document below all others; rows that share a doc_id
 are one document; keys under ``min_chars`` code points always stay; an empty
-table gives an empty result; other columns pass through ``drop_lines``.
+table gives an empty result; other columns pass through, whatever their names:
+``cut_lines`` keeps the row in a struct, and ``drop_lines`` raises ValueError if
+the input already has one of the three columns that it adds.
 """
 
 from __future__ import annotations
@@ -49,10 +51,11 @@ def falling(docs: DataFrame, batches: int) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int, batch: Column) -> DataFrame:
-    """(batch, doc_id, h, g): a row for each document and long line key."""
+    """(batch, doc_id, part, h, g): a row for each row of docs and long line key. part
+    is a hash of the text, which keeps apart the many rows that may share a null id."""
     lines = F.filter(F.array_distinct(lines_of(F.col("text"))), lambda x: F.length(x) >= min_chars)
     keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(line_key(x)) >= min_chars), _hash))
-    return docs.select(batch.cast("int").alias("batch"), _doc(docs).alias("doc_id"), F.inline(keys))
+    return docs.select(batch.cast("int").alias("batch"), _doc(docs).alias("doc_id"), F.xxhash64("text").alias("part"), F.inline(keys))
 
 
 class LineRuns:
@@ -97,36 +100,50 @@ def merged(runs: list[DataFrame]) -> DataFrame:
     return rows.groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4) -> DataFrame:
-    """All columns of docs, with _text (lines that stay), _n_lines, _n_dropped.
+def cut_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4) -> DataFrame:
+    """(row, text, n_lines, n_dropped): the row of docs as a struct, and its text with
+    the lines that stay.
 
     Keys found in at least min_docs documents lose their lines except in the
     largest doc_id that holds them.
     """
-    hashes = written(line_hashes(docs, min_chars, falling(docs, batches)), "lines", "batch")
+    hashes = written(line_hashes(docs.select("doc_id", "text"), min_chars, falling(docs, batches)), "lines", "batch")
     store, last = LineRuns(), None
     for b in range(batches):
         fresh = store.add(hashes.where(F.col("batch") == b)).select("h", "g", "last_doc")
         last = fresh if last is None else last.union(fresh)
     common = written(store.total().where(F.col("n_docs") >= min_docs).select("h", "g").join(last, ["h", "g"]), "common")
     lost = hashes.join(common, ["h", "g"]).where("doc_id < last_doc")
-    lost = lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("h", "g")).alias("_lost"))
-    both = docs.join(lost, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)) == F.col("_doc"), "left")
-    lines = lines_of(F.col("text"))
-    stay = F.filter(lines, lambda x: ~((F.length(x) >= min_chars) & F.array_contains(F.col("_lost"), _hash(x))))
-    both = both.withColumn("_kept", F.when(F.col("_lost").isNotNull(), stay)).withColumn("_n_lines", F.size(lines).cast("long"))
+    lost = lost.groupBy("doc_id", "part").agg(F.collect_set(F.struct("h", "g")).alias("lost"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    id_, text = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NULL_ID)), F.col("row.text")
+    both = rows.select("row", id_.alias("doc_id"), F.xxhash64(text).alias("part")).join(lost, ["doc_id", "part"], "left")
+    lines, any_lost = lines_of(text), F.col("lost").isNotNull()
+    stay = F.filter(lines, lambda x: ~((F.length(x) >= min_chars) & F.array_contains(F.col("lost"), _hash(x))))
+    both = both.select("row", "lost", F.when(any_lost, stay).alias("kept"), F.size(lines).cast("long").alias("n_lines"))
     return both.select(
-        *[docs[c] for c in docs.columns],
-        F.when(F.col("_lost").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("_text"),
-        "_n_lines",
-        F.when(F.col("_lost").isNotNull(), F.col("_n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long").alias("_n_dropped"),
+        "row",
+        F.when(any_lost, F.array_join("kept", "\n")).otherwise(text).alias("text"),
+        "n_lines",
+        F.when(any_lost, F.col("n_lines") - F.size("kept")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
+ADDED = {"_text": "text", "_n_lines": "n_lines", "_n_dropped": "n_dropped"}
+
+
+def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 4) -> DataFrame:
+    """All columns of docs, with _text (lines that stay), _n_lines, _n_dropped."""
+    if clash := set(ADDED) & set(docs.columns):
+        raise ValueError(f"the input already has {sorted(clash)}")
+    cut = cut_lines(docs, min_docs, min_chars, batches)
+    return cut.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(v).alias(k) for k, v in ADDED.items()])
+
+
 def dedup_increment(docs: DataFrame, store: LineRuns, min_chars: int = 20) -> DataFrame:
     """The first-come form: (doc_id, h, g) of lines of a new batch that no
     earlier batch had; the batch is then added to the runs."""
-    keys = written(line_hashes(docs, min_chars, F.lit(0)).drop("batch"), "batch")
+    keys = written(line_hashes(docs, min_chars, F.lit(0)).select("doc_id", "h", "g").distinct(), "batch")
     fresh = written(store.unseen(keys), "fresh")
     store.add(keys)
     return fresh

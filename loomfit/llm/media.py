@@ -1,12 +1,15 @@
 """Telephony audio columns: mu-law and A-law by look-up tables, IMA ADPCM in numpy.
 
-A text's bytes are stored as the 8-bit samples of a WAV file (G.711), read back,
-expanded by a table of 256 entries, resampled and measured. ADPCM blocks of 64
-bytes are decoded side by side: one numpy step for each nibble position over
-all blocks of a slab.
+A text's bytes are stored as the 8-bit samples of a G.711 WAV file, mu-law or A-law
+by the crc32 of the text; a stored sample is one byte of the payload, so nothing is
+lost. Files are a column of a table in the shared folder. Read back, samples are
+expanded by a table of 256 entries, measured, and resampled to PCM, a column of the
+result. ADPCM blocks of 64 bytes are decoded side by side: one numpy step for each
+nibble position over all blocks of a slab.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts give equal
-values; a text of any length is decoded whole, in slabs; rows are independent,
+values; a text of any length is measured whole, in slabs, and only its samples, its
+PCM and the resampled PCM are held at once; rows are independent,
 so null or repeated ids do not matter; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches, written
+
 UNIT, RATE = 64, 8000
 FORMATS = {"mulaw": 7, "alaw": 6}
 SLAB = 1 << 16  # ADPCM blocks decoded at once
@@ -74,8 +79,7 @@ def resample(pcm: np.ndarray, up: int = 2) -> np.ndarray:
     return ((x[:, None] * up + (nxt - x)[:, None] * np.arange(up, dtype=np.int32)) // up).astype("<i2").ravel()
 
 
-def payload_of(text: str | None) -> bytes:
-    raw = text.encode("utf-8", "surrogatepass") if text else b""
+def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % UNIT or (0 if raw else UNIT))
 
 
@@ -119,45 +123,65 @@ def adpcm_crcs(payloads: list[bytes]) -> list[int]:
     return crcs
 
 
-def _measure(codec: str, up: int, keep: bool):
+def _stored(codecs: tuple[str, ...]):
+    """Texts as WAV files; equal texts have the same codec."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in part.column("text").to_pylist()]
+                wav = [to_wav(padded(x), codecs[zlib.crc32(x) % len(codecs)]) for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(wav, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return run
+
+
+def _feature(codec: str, samples: np.ndarray, up: int) -> tuple[str, bytes]:
+    """Measures of the expanded samples, taken in slabs, and the resampled PCM."""
+    energy, peak, zero, before = 0, 0, 0, None
+    pcm = TABLES[codec][samples]
+    for lo in range(0, len(pcm), SLAB):
+        x = pcm[lo : lo + SLAB].astype(np.int64)
+        energy += int((x * x).sum())
+        peak = max(peak, int(np.abs(x).max()))
+        sign = x < 0
+        zero += int((sign[1:] != sign[:-1]).sum()) + (before is not None and before != sign[0])
+        before = sign[-1]
+    fine = resample(pcm, up).tobytes()
+    return f"codec={codec};rms={int((energy / len(pcm)) ** 0.5)};peak={peak};zc={int(zero)};pcm{RATE * up}={zlib.crc32(fine):08x}", fine
+
+
+def _measured(up: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
+            files = b.column("media")
             at = 0
-            while at < len(texts):
-                payloads, sizes, total, first = [], [], 0, at
-                while at < len(texts) and (total < SLAB * UNIT or not payloads):
-                    p = payload_of(texts[at])
-                    sizes.append(len(texts[at].encode("utf-8", "surrogatepass")) if texts[at] else 0)
-                    payloads.append(p)
-                    total += len(p)
-                    at += 1
-                rows = []
-                read = []
-                for size, p in zip(sizes, payloads):
-                    wav = to_wav(p, codec)
-                    kind, got = from_wav(wav)
+            while at < len(files):
+                first, total, read, rows = at, 0, [], []
+                while at < len(files) and (total < SLAB * UNIT // 4 or not read):
+                    wav = files[at].as_py()
+                    codec, got = from_wav(wav)
+                    feature, fine = _feature(codec, np.frombuffer(got, np.uint8), up)
+                    rows.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, fine))
                     read.append(got)
-                    pcm = TABLES[kind][np.frombuffer(got, np.uint8)]
-                    fine = resample(pcm, up)
-                    x = pcm.astype(np.int64)
-                    zero = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-                    feature = f"rms={int((x * x).mean() ** 0.5)};peak={int(np.abs(x).max())};zc={zero};pcm{RATE * up}={zlib.crc32(fine):08x}"
-                    rows.append((size, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, wav if keep else None, fine.tobytes() if keep else None))
+                    total += len(got)
+                    at += 1
                 cols = list(zip(*rows))
-                cols[6] = [f"{f};adpcm={c:08x}" for f, c in zip(cols[6], adpcm_crcs(read))]
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm"]
-                arrays = [pa.array(c, t) for c, t in zip(cols, types)]
-                use = len(names) if keep else len(names) - 2
-                yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), *arrays[:use]], ["doc_id", *names[:use]])
+                cols[5] = [f"{f};adpcm={c:08x}" for f, c in zip(cols[5], adpcm_crcs(read))]
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+                same = [b.column(c).slice(first, at - first) for c in ("doc_id", "n_bytes", "media")]
+                yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"])
 
     return run
 
 
-def telephony(docs: DataFrame, codec: str = "mulaw", up: int = 2, keep: bool = True) -> DataFrame:
-    """A row for each row of docs: sizes and digests of the stored WAV file, a
-    feature string and, with keep, the file itself and its resampled PCM."""
+def telephony(docs: DataFrame, codecs: tuple[str, ...] = ("mulaw", "alaw"), up: int = 2) -> DataFrame:
+    """A row for each row of docs: the stored WAV file, its digests, a feature string
+    and its resampled PCM. Files are written as a table to the shared folder; what is
+    measured comes from reading that table."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.mapInArrow(_measure(codec, up, keep), schema + (", media binary, pcm binary" if keep else ""))
+    stored = written(docs.mapInArrow(lean(_stored(codecs)), "doc_id long, n_bytes long, media binary"), "media")
+    schema = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    return stored.mapInArrow(lean(_measured(up)), schema)

@@ -5,7 +5,8 @@ part; a hot source is dealt over many buckets of a hash order, bucket sums are
 aggregated before any shuffle and only their prefix sums are joined back.
 
 Defined results: a null text has size 0; a null source is a source of its own
-and sorts last; a null doc_id hashes as empty text; repeated rows are separate
+and sorts last; a null doc_id hashes by its text, so many of them fall into many
+buckets; repeated rows are separate
 documents (equal rows are interchangeable); an empty table gives an empty
 result; other columns of the input are ignored.
 """
@@ -72,9 +73,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     """
     n = 2 * parallelism(docs.sparkSession)
     # {"size": words}: the only pass over texts; everything below moves a few numbers a document
-    sized = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), *carry), "sizes")
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = sized.withColumn("h", hashed).withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n, 32))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string")))
+    sized = written(docs.select("doc_id", "source", size.alias("size"), F.md5(name.cast("binary")).alias("h"), *carry), "sizes")
+    sized = sized.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n, 32))
     stats = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     by_source = Window.partitionBy("source")
     stats = stats.withColumns({

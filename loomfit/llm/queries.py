@@ -53,10 +53,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lines import drop_lines
+    from .lines import cut_lines
 
-    out = drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    out = cut_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 OP9_SQL = r"""
@@ -122,7 +122,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import telephony
 
-    return telephony(read(spark, sf_dir, "documents"), keep=False)
+    return telephony(read(spark, sf_dir, "documents")).drop("media")  # the file stays in its table
 
 
 QUERIES |= {"op6_quality": op6_quality, "op7_telephony": op7_telephony}

@@ -107,3 +107,18 @@ def drop_lines(rows, min_docs=3, min_chars=20):
 
 def crc(doc_id, m):
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
+
+
+def mulaw(code: int) -> int:
+    """One mu-law sample: sign, exponent and mantissa of the inverted byte."""
+    code ^= 0xFF
+    size = ((2 * (code & 15) + 33) << (code >> 4 & 7)) - 33
+    return 4 * (-size if code & 0x80 else size)
+
+
+def alaw(code: int) -> int:
+    """One A-law sample: every second bit is inverted; the sign bit marks positive values."""
+    code ^= 0x55
+    exponent, mantissa = code >> 4 & 7, code & 15
+    size = 2 * mantissa + 1 if exponent == 0 else (2 * mantissa + 33) << (exponent - 1)
+    return 8 * (size if code & 0x80 else -size)

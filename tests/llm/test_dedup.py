@@ -133,6 +133,18 @@ def test_lines_equal_brute_force(spark):
     assert ln.drop_lines(cases.docs(spark, [])).collect() == []
 
 
+def test_lines_of_rows_with_any_column_names(spark):
+    rows = cases.awkward()
+    names = ["_kept", "_lost", "_doc", "lost", "kept", "part", "row", "n_lines", "h", "a.b"]
+    docs = cases.docs(spark, rows).select("doc_id", "text", "source", *[F.lit(1).alias(c) for c in names])
+    out = ln.drop_lines(docs)
+    assert out.columns == ["doc_id", "text", "source", *names, "_text", "_n_lines", "_n_dropped"] and out.count() == len(rows)
+    with pytest.raises(ValueError):
+        ln.drop_lines(out)
+    again = ln.cut_lines(out)
+    assert again.columns == ["row", "text", "n_lines", "n_dropped"] and again.count() == len(rows)
+
+
 def test_runs_are_compacted_and_merged(spark):
     store = ln.LineRuns(fanout=2)
     lines = [f"line number {i} of the whole corpus" for i in range(6)]
