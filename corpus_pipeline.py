@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomfit.llm.bpe import encode_documents
 from loomfit.llm.common import read, written
-from loomfit.llm.lines import drop_lines
+from loomfit.llm.lines import cut_lines
 from loomfit.llm.mixing import mix_sources
 from loomfit.llm.neardup import near_duplicates
 from loomfit.llm.quality import keep_good
@@ -21,30 +21,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines common to three documents stay in the last one only; n_chars follows."""
-    cut = drop_lines(docs)
-    text = {"text": F.col("_text"), "n_chars": F.when(F.col("_n_dropped") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
-    return cut.select(*[text.get(c, F.col(c)).alias(c) for c in docs.columns])
+    held = cut_lines(docs)
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return held.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, as one row; rows
-    without a doc_id stay as they are."""
+    """One document of each group of near duplicates stays, as one row (the least by
+    text, source, lang, n_chars); rows without a doc_id stay as they are."""
     gone = near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows without a doc_id are groups of their own, so that they don't meet in one task
-    left = left.withColumn("_own", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("text", "source", "lang", "n_chars"))
-    return left.withColumn("_first", first).where("_first = 1").drop("_first", "_own")
+    left = docs.join(gone, "doc_id", "left_anti")
+    # the row travels as a struct, so no column of it can clash; rows without a doc_id
+    # are groups of their own, so that they don't meet in one task
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", own.alias("own")).alias("group"))
+    first = F.row_number().over(Window.partitionBy("group").orderBy("row.text", "row.source", "row.lang", "row.n_chars"))
+    return rows.select("row", first.alias("first")).where("first = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass of the mix over a document, in training order; documents
     of which the mix takes nothing go."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())  # docs is a table, so this is the same in both places
-    passes = mix_sources(numbered, carry=("_row",)).where("taken > 0").select(F.col("_row").alias("_of"), "positions")
-    both = numbered.join(passes, F.col("_row") == F.col("_of"))
-    rows = both.select(*docs.columns, F.explode("positions").alias("_position"))
-    return rows.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
+    # docs is a table, so the numbers are the same in both places
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sizes = rows.select("id", "row.doc_id", "row.text", "row.source")
+    passes = mix_sources(sizes, carry=("id",)).where("taken > 0").select("id", "positions")
+    taken = rows.join(passes, "id").select("row", F.explode("positions").alias("position"))
+    taken = taken.select("row", "position", F.col("row.doc_id").alias("doc_id"))
+    taken = taken.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
