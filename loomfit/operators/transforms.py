@@ -86,7 +86,8 @@ def moving_average(df: DataFrame, window: int, order: Sequence[str], col: str =
 
 def gaussian_smooth(df: DataFrame, sigma: float, order: Sequence[str], col: str = "y", keys: Sequence[str] = ()) -> DataFrame:
     """Kernel of radius 3 sigma. Before the first row stands its value; after the
-    last one nothing (zero), without new weights."""
+    last one nothing (zero), without new weights. A null inside the series makes the
+    values around it null."""
     r = math.ceil(3 * sigma)
     weights = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     weights /= weights.sum()
@@ -95,7 +96,8 @@ def gaussian_smooth(df: DataFrame, sigma: float, order: Sequence[str], col: str
         first = F.first(col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         out = F.lit(0.0)
         for j, g in zip(range(-r, r + 1), weights.tolist()):
-            v = F.coalesce(F.lag(col, -j).over(w), first) if j < 0 else F.col(col) if j == 0 else F.coalesce(F.lead(col, j).over(w), F.lit(0.0))
+            there = F.lead(F.lit(True), j).over(w).isNotNull()  # a row, whatever its value
+            v = F.col(col) if j == 0 else F.when(there, F.lead(col, j).over(w)).otherwise(first if j < 0 else F.lit(0.0))
             out = out + F.lit(g) * v
         return out
 
@@ -149,8 +151,10 @@ def polynomial_scale(df: DataFrame, coefs: Sequence[float], col: str = "y") -> D
 
 
 def uniform_of(seed: int, *key: Column) -> Column:
-    """In [0, 1), from the seed and the row's key."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) / F.lit(float(1 << 53))
+    """In [0, 1), from the seed and the row's key: the first 52 bits of an MD5 of
+    both as text, so any engine gives the same draws."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def normal_of(seed: int, *key: Column) -> Column:
@@ -174,21 +178,35 @@ def normal_noise(df: DataFrame, strength: Strength, key: Sequence[str], seed: in
     return df.withColumn(col, F.col(col) + strength.literal(df, col) * normal_of(seed, *map(F.col, key)))
 
 
+def _autoregressed(rows: DataFrame, rho: float, n: int) -> DataFrame:
+    """Adds _v to rows(_i, _e): v = e + rho times v of the row before. A block is one
+    scan of e scaled by powers of rho, short enough that no power leaves the range of
+    doubles; block ends are a series of the same kind, with rho to the block's length."""
+    size = 1 << 17 if abs(rho) == 1 else max(1, min(1 << 17, int(230 / -math.log(abs(rho)))))
+    r, at = F.lit(float(rho)), F.expr(f"_i % {size}")
+    scan = Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_b", F.expr(f"_i div {size}")).withColumn("_v", F.pow(r, at) * F.sum(F.col("_e") * F.pow(r, -at)).over(scan))
+    if n <= size:
+        return own.drop("_b")
+    ends = own.groupBy(F.col("_b").alias("_i")).agg(F.max_by("_v", "_i").alias("_e"))
+    onward = float(rho) ** size
+    # what fades below a double's precision within a block is not carried past it
+    ends = _autoregressed(ends, onward, -(-n // size)) if abs(onward) > 1e-18 else ends.withColumn("_v", F.col("_e"))
+    before = ends.select((F.col("_i") + 1).alias("_b"), F.col("_v").alias("_c"))
+    return own.join(before, "_b", "left").withColumn("_v", F.col("_v") + F.coalesce("_c", F.lit(0.0)) * F.pow(r, at + 1)).drop("_b", "_c")
+
+
 def correlated_noise(df: DataFrame, strength: Strength, rho: float, order: Sequence[str], seed: int = 0, col: str = "y") -> DataFrame:
-    """First-order autoregressive noise. The state is a sum of past draws, which
-    fades to nothing in double precision after a known number of rows."""
+    """First-order autoregressive noise of unit variance along the order, for any rho
+    from -1 to 1."""
+    if not abs(rho) <= 1:
+        raise ValueError("rho must lie between -1 and 1")
     if rho == 0:
         return normal_noise(df, strength, order, seed, col)
-    reach = 1 if abs(rho) < 1e-12 else min(5000, math.ceil(-37 / math.log(abs(rho)))) if abs(rho) < 1 else 5000
-    rows = with_index(df, *order).withColumn("_e", normal_of(seed, *map(F.col, order)) * F.when(F.col("_i") == 0, 1.0).otherwise(math.sqrt(max(0.0, 1 - rho * rho))))
-    rows = rows.drop("_i")
-
-    def make(w, _):
-        past = F.collect_list("_e").over(w.rowsBetween(-reach, 0))
-        return F.aggregate(past, F.lit(0.0), lambda acc, e: acc * F.lit(float(rho)) + e)
-
-    out = _windowed(rows, order, (), reach, make)
-    return out.withColumn(col, F.col(col) + strength.literal(df, col) * F.col("_v")).drop("_v", "_e")
+    amount = strength.literal(df, col)
+    fresh = F.when(F.col("_i") == 0, 1.0).otherwise(math.sqrt(max(0.0, 1 - rho * rho)))
+    rows = with_index(df, *order).withColumn("_e", normal_of(seed, *map(F.col, order)) * fresh)
+    return _autoregressed(rows, rho, df.count()).withColumn(col, F.col(col) + amount * F.col("_v")).drop("_v", "_e", "_i")
 
 
 def uniform_noise(df: DataFrame, lower: float, upper: float, key: Sequence[str], seed: int = 0, col: str = "y") -> DataFrame:
@@ -196,14 +214,26 @@ def uniform_noise(df: DataFrame, lower: float, upper: float, key: Sequence[str],
     return df.withColumn(col, F.col(col) - F.lit(float(lower)) + F.lit(float(lower + upper)) * uniform_of(seed, *map(F.col, key)))
 
 
+def poisson_of(rate: float, seed: int, *key: Column) -> Column:
+    """A count: up to a rate of 1000 the exact quantile of one uniform draw, beyond it
+    the normal quantile with its correction for skewness."""
+    if rate < 0:
+        raise ValueError("a rate can't be negative")
+    if rate == 0:
+        return F.lit(0.0)
+    if rate > 1000:
+        z = normal_of(seed, *key)
+        return F.greatest(F.lit(0.0), F.round(F.lit(float(rate)) + F.lit(math.sqrt(rate)) * z + (z * z - 1) / 6))
+    least, top = max(0, int(rate - 12 * math.sqrt(rate))), int(rate + 12 * math.sqrt(rate) + 20)
+    cdf = np.cumsum(np.exp([k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(least, top)]))
+    u = uniform_of(seed, *key)
+    return F.get(F.transform(F.array(u), lambda v: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cdf]), lambda c: c <= v))), F.lit(0)).cast("double") + F.lit(float(least))
+
+
 def poisson_noise(df: DataFrame, rate: float, strength: Strength, key: Sequence[str], seed: int = 0, col: str = "y") -> DataFrame:
     """(Poisson(rate) - rate), times the point's share if relative."""
-    top = int(rate + 12 * math.sqrt(rate) + 20)
-    logs = np.array([-rate + k * math.log(rate) - math.lgamma(k + 1) for k in range(top)])
-    cdf = np.cumsum(np.exp(logs))
-    count = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cdf]), lambda c: c <= F.col("_u"))).cast("double")
     size = F.lit(strength.amount) * F.abs(F.col(col)) if strength.relative else F.lit(1.0)
-    return df.withColumn("_u", uniform_of(seed, *map(F.col, key))).withColumn(col, F.col(col) + (count - F.lit(float(rate))) * size).drop("_u")
+    return df.withColumn(col, F.col(col) + (poisson_of(rate, seed, *map(F.col, key)) - F.lit(float(rate))) * size)
 
 
 def salt_and_pepper(df: DataFrame, share: float, lo: float, hi: float, key: Sequence[str], seed: int = 0, col: str = "y") -> DataFrame:
@@ -212,15 +242,27 @@ def salt_and_pepper(df: DataFrame, share: float, lo: float, hi: float, key: Sequ
     return df.withColumn(col, F.when(uniform_of(2 * seed, *k) < share, other).otherwise(F.col(col)))
 
 
+def beta_of(a: float, b: float, seed: int, *key: Column) -> Column:
+    """Whole shapes (to a sum of 64): the a-th least of a + b - 1 uniform draws. Other
+    shapes: the quantile of one draw, from 2049 points between which lines run; masses
+    are summed over the logit, where the density has no poles."""
+    if a <= 0 or b <= 0:
+        raise ValueError("shapes must be positive")
+    if a == int(a) and b == int(b) and a + b <= 64:
+        return F.get(F.sort_array(F.array(*[uniform_of(seed * 64 + i, *key) for i in range(int(a + b) - 1)])), F.lit(int(a) - 1))
+    reach = 40 / min(a, b, 1)
+    logit = np.linspace(-reach, reach, 1 << 17)
+    log_x, log_y = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
+    mass = np.cumsum(np.exp(a * log_x + b * log_y - (a * log_x + b * log_y).max()))
+    quantile = np.interp(np.linspace(0, 1, 2049), mass / mass[-1], np.exp(log_x))
+    table = F.array(*[F.lit(float(q)) for q in quantile])
+    u = uniform_of(seed, *key) * 2048.0
+    at = F.floor(u).cast("int")
+    return F.get(table, at) + (u - at) * (F.get(table, at + 1) - F.get(table, at))
+
+
 def impulse_noise(df: DataFrame, share: float, lo: float, hi: float, a: float, b: float, key: Sequence[str], seed: int = 0, col: str = "y") -> DataFrame:
     """Some values become Beta(a, b) draws mapped to lo..hi."""
-    grid = np.linspace(0, 1, 4097)
-    mid = (grid[1:] + grid[:-1]) / 2
-    mass = np.concatenate([[0], np.cumsum(mid ** (a - 1) * (1 - mid) ** (b - 1))])
-    quantile = np.interp(np.linspace(0, 1, 513), mass / mass[-1], grid)
     k = [F.col(c) for c in key]
-    u = uniform_of(2 * seed + 1, *k) * 512.0
-    table = F.array(*[F.lit(float(q)) for q in quantile])
-    at = F.floor(u).cast("int")
-    draw = F.get(table, at) + (u - at) * (F.get(table, at + 1) - F.get(table, at))
-    return df.withColumn(col, F.when(uniform_of(2 * seed, *k) < share, F.lit(float(lo)) + draw * F.lit(float(hi - lo))).otherwise(F.col(col)))
+    draw = F.lit(float(lo)) + beta_of(a, b, 2 * seed + 1, *k) * F.lit(float(hi - lo))
+    return df.withColumn(col, F.when(uniform_of(2 * seed, *k) < share, draw).otherwise(F.col(col)))

@@ -10,7 +10,7 @@ from ..operators import plots
 from ..operators import transforms as tr
 from ..plans.display import number, subscript, superscript
 from ..plans.model import parse
-from .registry import query, rounded, table
+from .registry import powers, query, rounded, table, weighted_fit_sql
 
 
 def _customers(spark, d):
@@ -111,43 +111,70 @@ def number_texts(spark, d):
 
 
 def _noisy(df, key):
-    return df.select(key, "y")
+    return rounded(df.select(key, "y"), 6, "y")
 
 
-@query()
+def _u(seed: int, key: str = "event_id") -> str:
+    """SQL of a uniform draw: 52 bits of an MD5."""
+    return f"(('0x' || substr(md5('{seed}|' || {key}), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+def _z(seed: int, key: str = "event_id") -> str:
+    return f"(sqrt(-2 * ln(1 - {_u(2 * seed, key)})) * cos(2 * pi() * {_u(2 * seed + 1, key)}))"
+
+
+@query(f"select event_id, round(value + 0.1 * sd * {_z(42)}, 6) as y from events, (select stddev_pop(value) as sd from events)")
 def noise_normal_events(spark, d):
     return _noisy(tr.normal_noise(_events(spark, d), tr.Strength(0.1, True), ["event_id"], 42), "event_id")
 
 
-@query()
+@query(f"select event_id, round(value - 1 + 3 * {_u(42)}, 6) as y from events")
 def noise_uniform_events(spark, d):
     return _noisy(tr.uniform_noise(_events(spark, d), 1.0, 2.0, ["event_id"], 42), "event_id")
 
 
-@query()
+@query(f"""with p as (select list(exp(-2.0) * s order by k) as cdf from (select k, sum(pow(2.0, k) / factorial(k::int)) over (order by k) as s from range(0, 30) t(k))),
+e as (select event_id, value, {_u(42)} as u from events)
+select event_id, round(value + (len(list_filter(cdf, lambda c: c <= u)) - 2) * 0.05 * abs(value), 6) as y from e, p""")
 def noise_poisson_events(spark, d):
     return _noisy(tr.poisson_noise(_events(spark, d), 2.0, tr.Strength(0.05, True), ["event_id"], 42), "event_id")
 
 
-@query()
+@query(f"select event_id, round(case when {_u(84)} < 0.05 then case when {_u(85)} < 0.5 then 500.0 else 0.0 end else value end, 6) as y from events")
 def noise_salt_events(spark, d):
     return _noisy(tr.salt_and_pepper(_events(spark, d), 0.05, 0.0, 500.0, ["event_id"], 42), "event_id")
 
 
-@query()
+@query(f"select event_id, round(case when {_u(84)} < 0.05 then 500 * list_sort([{', '.join(_u(85 * 64 + i) for i in range(6))}])[2] else value end, 6) as y from events")
 def noise_impulse_events(spark, d):
     return _noisy(tr.impulse_noise(_events(spark, d), 0.05, 0.0, 500.0, 2.0, 5.0, ["event_id"], 42), "event_id")
 
 
-@query()
+@query(f"""with e as (select event_id, value, {_z(42)} * case when row_number() over (order by event_id) = 1 then 1 else sqrt(1 - 0.75 * 0.75) end as e from events),
+v as (select *, {' + '.join(f'pow(0.75, {k}) * coalesce(lag(e, {k}) over w, 0)' for k in range(130))} as v from e window w as (order by event_id))
+select event_id, round(value + 5 * v, 6) as y from v""")
 def noise_correlated_events(spark, d):
-    return _noisy(tr.correlated_noise(_events(spark, d), tr.Strength(5.0), 0.75, ["ts", "event_id"], 42), "event_id")
+    return _noisy(tr.correlated_noise(_events(spark, d), tr.Strength(5.0), 0.75, ["event_id"], 42), "event_id")
 
 
-@query()
+_GRID = """select p_partkey::double as x, p_retailprice::double as y, 1.0 as w, 0 as k from part
+union all select lo + i * (hi - lo) / 200, null, 0.0, 0 from (select min(p_partkey)::double as lo, max(p_partkey)::double as hi from part), range(0, 201) t(i)"""
+_PLOT_ROWS = f"select d.*, 2 * (x - lo) / (hi - lo) - 1 as t from ({_GRID}) d, (select min(p_partkey)::double as lo, max(p_partkey)::double as hi from part)"
+
+
+@query(
+    weighted_fit_sql(_PLOT_ROWS, powers(3))
+    + """,
+s as (select *, sum(case when w > 0 then (y - fit3) * (y - fit3) else 0 end) over () / (sum(w) over () - 4) as s2, sum(w) over () as n from f),
+c as (select 0 as series, 'fit' as kind, x, fit3 as y, 1.959 * sqrt(s2 * (q0 * q0 / d0 + q1 * q1 / d1 + q2 * q2 / d2 + q3 * q3 / d3)) as half from s where w = 0),
+o as (select 1 as series, 'data' as kind, x, y, row_number() over (order by x) - 1 as i, n from s where w > 0)
+select series, kind, round(x, 4) as x, round(y, 4) as y, round(y - half, 4) as lower, round(y + half, 4) as upper from c
+union all select series, kind, round(x, 4), round(y, 4), null, null from o where i % greatest(1, n::bigint // 100) = 0"""
+)
 def plot_fit_part(spark, d):
     """Series of a fit, its band and a thinned plot of the data."""
-    return plots.plot_fit(ft.fit(table(spark, d, "part"), "p_partkey", "p_retailprice", 3))
+    rows = plots.plot_fit(ft.fit(table(spark, d, "part"), "p_partkey", "p_retailprice", 3))
+    return rounded(rows.drop("label"), 4, "x", "y", "lower", "upper")
 
 
 @query("select (-5 + 0.5 * i)::double as x, round(2 * pow(-5 + 0.5 * i, 2) + 3 * (-5 + 0.5 * i) - 5, 6) as y from range(0, 21) t(i)")

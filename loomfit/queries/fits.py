@@ -12,10 +12,8 @@ from ..operators import stats
 from ..operators.checks import Checks
 from ..operators.ranking import rank_bases
 from ..operators.scores import Shape, score_of
-from ..plans.display import equation
-from ..plans.model import Curve
 from ..streaming import solved, stream_to_rows, windowed_moments
-from .registry import ANGLE, LOG, fit_sql, powers, query, rounded, rows_sql, table, waves
+from .registry import ANGLE, LOG, fit_sql, powers, query, rounded, rows_sql, table, waves, weighted_fit_sql
 
 PART = rows_sql("part", "p_partkey", "p_retailprice", ["p_partkey"])
 
@@ -148,10 +146,22 @@ def fit_auto_bic_part(spark, d):
     return rounded(pr.with_fit(f.data, f.curve, f.x).select("p_partkey", F.lit(f.degree).alias("degree"), "y_fit"), 4, "y_fit")
 
 
-@query()
+_CAP = "least(floor(pow({n}, 1 / 3.0) + 1e-9), floor({n} / 8 - 1), 15)"
+_LINES = rows_sql("lineitem", "l_quantity", "l_extendedprice")
+
+
+@query(weighted_fit_sql(f"select *, 1.0 as w, 0 as k from ({_LINES})", powers(15)) + f""",
+r as (select unnest(range(16)) as degree, unnest([{', '.join(f'y - fit{j}' for j in range(16))}]) as r from f),
+m as (select degree, median(abs(r)) as med from r group by degree),
+a as (select degree, median(abs(abs(r) - med)) as mad from r join m using (degree) group by degree),
+h as (select degree, count(*)::double as n, avg(case when abs(r) <= 1.345 * mad then r * r / 2 else 1.345 * mad * (abs(r) - 1.345 * mad / 2) end) as huber, avg(r * r) as mse from r join a using (degree) group by degree),
+s as (select *, n * ln(greatest(huber, 2.220446049250313e-16)) + 2 * (degree + 1) as aic from h where degree <= {_CAP.format(n='n')}),
+b as (select min(degree) as best from s where aic <= (select min(aic) from s) + 2)
+select best::int as degree, n::bigint as data_points, round(mse, 1) as mse, round(1 - mse / (select var_pop(l_extendedprice) from lineitem), 8) as r_squared from s join b on degree = best""")
 def fit_auto_relaxed_lineitem(spark, d):
     """All candidate degrees up to the relaxed bound, over every line item."""
-    return pr.properties(ft.fit_auto(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
+    out = pr.properties(ft.fit_auto(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
+    return rounded(rounded(out.select("degree", "data_points", "mse", "r_squared"), 1, "mse"), 8, "r_squared")
 
 
 @query()
@@ -160,9 +170,20 @@ def fit_shape_constrained_part(spark, d):
     return pr.properties(f)
 
 
-@query()
+_ORDERS = rows_sql("orders", "o_orderkey", "o_totalprice")
+_FOLDED = f"""select d.*, k, case when k = fold then 0.0 else 1.0 end as w from
+(select *, least(i // greatest(n // 7, 1), 6) as fold from (select *, row_number() over (order by x) - 1 as i, count(*) over () as n from ({_ORDERS}))) d, range(0, 8) t(k)"""
+
+
+@query(weighted_fit_sql(_FOLDED, powers(15)) + f""",
+e as (select k, any_value(n) as n, unnest(range(16)) as degree, unnest([{', '.join(f'sqrt(avg((y - fit{j}) * (y - fit{j})) filter (k = 7 or w = 0))' for j in range(16))}]) as rmse from f group by k),
+s as (select degree, avg(rmse) as rmse from e where k < 7 and degree <= {_CAP.format(n='(n - (n + 6) // 7)')} group by degree),
+b as (select min_by(degree, rmse) as best from s)
+select best::int as degree, n as data_points, round(rmse * rmse, 0) as mse, round(1 - rmse * rmse / (select var_pop(o_totalprice) from orders), 8) as r_squared from e join b on degree = best where k = 7""")
 def fit_kfold_orders(spark, d):
-    return pr.properties(ft.fit_kfold(table(spark, d, "orders"), "o_orderkey", "o_totalprice", order="o_orderkey"))
+    """Seven folds along the keys; SQL fits each fold's complement by itself, and all rows as an eighth."""
+    out = pr.properties(ft.fit_kfold(table(spark, d, "orders"), "o_orderkey", "o_totalprice", order="o_orderkey"))
+    return rounded(rounded(out.select("degree", "data_points", "mse", "r_squared"), 0, "mse"), 8, "r_squared")
 
 
 @query("""with o as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i, count(*) over () as n from orders)
@@ -303,11 +324,19 @@ def predict_range_part(spark, d):
     return rounded(pr.curve_over(spark, f.curve, lo - 10, hi + 10, 5.0, "null"), 4, "y")
 
 
-@query()
+_T = [f"cos({j} * acos(greatest(-1, least(1, t))))" for j in range(7)]  # Chebyshev functions
+#: A coefficient is that of a column made orthogonal to all others: each comes last once.
+_LAST = " union all ".join(
+    f"select * from ({weighted_fit_sql(f'select *, 1.0 as w, 0 as k from ({PART})', [*_T[:j], *_T[j + 1 :], _T[j]])} select {j} as i, any_value(c6) as c, sqrt(sum((y - fit6) * (y - fit6)) / (count(*) - 7) / any_value(d6)) as e from f)"
+    for j in range(7)
+)
+
+
+@query(f"select i, round(case when abs(c) > 2.220446049250313e-16 and abs(c) / e < 1.959 then 0 else c end, 4) as coefficient, abs(c) / e >= 1.959 as kept from ({_LAST})")
 def pruned_fit_part(spark, d):
     f = ft.fit(table(spark, d, "part"), "p_partkey", "p_retailprice", 6)
-    c = pr.prune(f)
-    return spark.createDataFrame([(f.curve.k, sum(v != 0 for v in c.coefs), equation(c))], "coefficients int, kept int, equation string")
+    rows = [(i, float(v), v != 0) for i, v in enumerate(pr.prune(f).coefs)]
+    return rounded(spark.createDataFrame(rows, "i int, coefficient double, kept boolean"), 4, "coefficient")
 
 
 @query()
@@ -320,7 +349,19 @@ def rank_bases_events(spark, d):
     return rank_bases(table(spark, d, "events").withColumn("day", (pt.epoch_seconds("ts") - 1704067200) / 86400), "day", "value", bound=4, score="bic")
 
 
-@query()
+@query(fit_sql(PART, powers(2)) + """,
+r as (select x, y, fit2, y - fit2 as r from f),
+m as (select median(abs(r)) as med from r),
+a as (select median(abs(abs(r) - med)) as mad from r, m),
+h as (select sum(case when abs(r) <= 1.345 * mad then r * r / 2 else 1.345 * mad * (abs(r) - 1.345 * mad / 2) end) as loss, sum(r * r) as sse, count(*) as n, var_pop(y) * count(*) as sst, quantile_disc(abs(r), 0.95) as q95 from r, a),
+t as (select count(*) as n, avg(t) as mt, regr_slope(y, x) as b, regr_intercept(y, x) as a from (select x, y, x as t from r)),
+l as (select sum(pow(fit2 - (a + b * x), 2)) as apart, (select var_pop(a + b * x) * count(*) from r, t) as spread from r, t),
+v as (select unnest(['r_squared', 'adjusted_r_squared', 'robust_r_squared', 'max_residual', 'matches']) as "check",
+  unnest([1 - sse / sst, 1 - sse / sst - sse / sst * 3.0 / (n - 3), 1 - loss / sse, q95, 1 - apart / spread]) as value,
+  unnest([0.55, 0.9, 0.4, 100.0, 0.9]::double[]) as threshold from h, l)
+select "check", round(value, 6) as value, threshold, case "check" when 'max_residual' then value <= threshold when 'matches' then value >= threshold else value > threshold end as passed from v""")
 def quality_checks_part(spark, d):
-    f = ft.fit(table(spark, d, "part"), "p_partkey", "p_retailprice", 2)
-    return Checks(f).r_squared(0.1).adjusted_r_squared(0.1).robust_r_squared(0.4).residuals_normal(0.0).max_residual(100.0).monotone().matches(Curve("chebyshev", f.curve.coefs, *f.curve.x_range)).rows()
+    """Checks of a parabola, some of which fail; it is held against the line of the same rows."""
+    part = table(spark, d, "part")
+    f, line = ft.fit(part, "p_partkey", "p_retailprice", 2), ft.fit(part, "p_partkey", "p_retailprice", 1)
+    return rounded(Checks(f).r_squared(0.55).adjusted_r_squared(0.9).robust_r_squared(0.4).max_residual(100.0).matches(line.curve).rows(), 6, "value")

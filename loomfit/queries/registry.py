@@ -63,6 +63,23 @@ def fit_sql(rows: str, columns: Sequence[str]) -> str:
     return "with " + ",\n".join(out)
 
 
+def weighted_fit_sql(rows: str, columns: Sequence[str]) -> str:
+    """CTEs that end in f: rows(k, x, y, t, w, ...) with q0.. (columns made orthogonal
+    under the weights w within each k), d0.. (their weighted squares), c0.. and fit0..;
+    rows of weight 0 are fitted but teach nothing."""
+    out = [f"g0 as (select *, ({columns[0]})::double as q0 from ({rows}))", "h0 as (select *, sum(w * q0 * q0) over (partition by k) as d0 from g0)"]
+    for j, col in enumerate(columns[1:], 1):
+        out.append(f"u{j} as (select *, ({col})::double as u from h{j - 1})")
+        less = " - ".join(f"sum(w * u * q{i}) over (partition by k) / d{i} * q{i}" for i in range(j))
+        out.append(f"g{j} as (select * exclude (u), u - {less} as q{j} from u{j})")
+        out.append(f"h{j} as (select *, sum(w * q{j} * q{j}) over (partition by k) as d{j} from g{j})")
+    last = len(columns) - 1
+    out.append("v as (select *, " + ", ".join(f"sum(w * y * q{j}) over (partition by k) / d{j} as c{j}" for j in range(last + 1)) + f" from h{last})")
+    fits = [" + ".join(f"c{i} * q{i}" for i in range(j + 1)) + f" as fit{j}" for j in range(last + 1)]
+    out.append(f"f as (select *, {', '.join(fits)} from v)")
+    return "with " + ",\n".join(out)
+
+
 def powers(degree: int, of: str = "t") -> list[str]:
     return ["1"] + [f"pow({of}, {p})" for p in range(1, degree + 1)]
 

@@ -196,11 +196,13 @@ def test_metrics_on_edges(spark):
     def of(rows, k=1):
         return stats.residual_metrics(spark.createDataFrame(rows, "y double, f double"), F.col("y"), F.col("f"), k).first()
 
-    assert of([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)]).r_squared == 1
-    assert of([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0)]).r_squared == 0
-    assert of([(1.0, 10.0), (2.0, 10.0), (3.0, 10.0)]).r_squared == -96
-    assert of([(2.0, 2.0), (2.0, 2.0)]).r_squared is None
-    assert of([(2.0, 1.0)]).residual_variance == 0
+    y = [0.5, -1.25, 4.0, 7.5]
+    assert of([(v, v) for v in y]).r_squared == 1
+    assert of([(v, sum(y) / 4) for v in y]).r_squared == pytest.approx(0)
+    far = [(v, -3.0) for v in y]
+    assert of(far).r_squared == pytest.approx(1 - sum((v + 3) ** 2 for v in y) / sum((v - sum(y) / 4) ** 2 for v in y))
+    assert of([(6.5, 6.5)] * 3).r_squared is None
+    assert of([(6.5, 1.0)]).residual_variance == 0
     empty = of([])
     assert empty.n == 0 and empty.mae is None and empty.normality == 1
 
@@ -218,13 +220,46 @@ def test_index_over_many_buckets(spark):
     assert sorted((r.id, r._i) for r in rows) == [(i, i) for i in range(1000)]
 
 
-def test_smoothing_golden_values(spark):
-    df = spark.createDataFrame([(i, float(i)) for i in range(1, 6)], "x long, y double")
-    avg = [r.y for r in tr.moving_average(df, 3, ["x"]).orderBy("x").collect()]
-    assert avg == [1.5, 2, 3, 4, 4.5]
-    smooth = [r.y for r in tr.gaussian_smooth(df, 1.0, ["x"]).orderBy("x").collect()]
-    assert np.allclose(smooth, [1.3633, 2.0629, 2.9778, 3.6449, 3.1343], atol=1e-4)
-    assert tr.moving_average(df, 0, ["x"]).count() == 5
+def test_smoothing_against_numpy(spark):
+    v = np.random.default_rng(8).normal(size=40).round(3)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "x long, y double")
+    avg = [r.y for r in tr.moving_average(df, 5, ["x"]).orderBy("x").collect()]
+    assert np.allclose(avg, [v[max(0, i - 2) : i + 3].mean() for i in range(40)])
+    g = np.exp(-0.5 * (np.arange(-6, 7) / 2.0) ** 2)
+    longer = np.concatenate([np.full(6, v[0]), v, np.zeros(6)])
+    smooth = [r.y for r in tr.gaussian_smooth(df, 2.0, ["x"]).orderBy("x").collect()]
+    assert np.allclose(smooth, [longer[i : i + 13] @ g / g.sum() for i in range(40)])
+    assert tr.moving_average(df, 0, ["x"]).count() == 40
+    holed = df.withColumn("y", F.when(F.col("x") != 20, F.col("y")))
+    got = [r.y for r in tr.gaussian_smooth(holed, 1.0, ["x"]).orderBy("x").collect()]
+    assert [i for i, y in enumerate(got) if y is None] == list(range(17, 24))
+
+
+@pytest.mark.parametrize("rho", [0.3, -0.8, 0.9, 0.9995, 1.0, -1.0, 1e-9])
+def test_correlated_noise_is_the_recursion(spark, rho):
+    df = spark.range(3000).selectExpr("id", "1.5D as y")
+    got = [r.y for r in tr.correlated_noise(df, tr.Strength(2.0), rho, ["id"], 11).orderBy("id").collect()]
+    e = [r.e for r in df.select("id", tr.normal_of(11, F.col("id")).alias("e")).orderBy("id").collect()]
+    state, want = 0.0, []
+    for i, x in enumerate(e):
+        state = rho * state + x * (1 if i == 0 else math.sqrt(1 - rho * rho))
+        want.append(1.5 + 2 * state)
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_draws_at_the_edges_of_their_parameters(spark):
+    df, k = spark.range(20000), F.col("id")
+    draws = {
+        "none": (tr.poisson_of(0.0, 1, k), 0, 0), "some": (tr.poisson_of(30.5, 1, k), 30.5, 30.5), "many": (tr.poisson_of(1e6, 1, k), 1e6, 1e6),
+        "poles": (tr.beta_of(0.3, 0.5, 1, k), 0.375, 0.3 * 0.5 / (0.8**2 * 1.8)), "whole": (tr.beta_of(2.0, 5.0, 1, k), 2 / 7, 10 / (49 * 8)), "odd": (tr.beta_of(2.5, 1.5, 1, k), 0.625, 3.75 / (16 * 5)),
+    }
+    got = df.agg(*[f(c).alias(f"{n}_{f.__name__}") for n, (c, *_) in draws.items() for f in (F.avg, F.var_pop)]).first()
+    for n, (_, mean, var) in draws.items():
+        assert got[f"{n}_avg"] == pytest.approx(mean, abs=5 * math.sqrt(var / 20000) + 1e-12)
+        assert got[f"{n}_var_pop"] == pytest.approx(var, rel=0.06, abs=1e-12)
+    for bad in (lambda: tr.poisson_of(-1.0, 1, k), lambda: tr.beta_of(0.0, 1.0, 1, k), lambda: tr.correlated_noise(df, tr.Strength(1.0), 1.5, ["id"])):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_smoothing_in_blocks_equals_one_window(spark):
@@ -273,17 +308,21 @@ def test_quantiles_by_narrowing(spark):
 
 
 def test_normalising(spark):
-    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "x double, y double")
-    assert [round(r.y, 4) for r in tr.standardize(df).orderBy("x").collect()] == [-1.2247, 0, 1.2247]
-    assert [r.y for r in tr.center(df).orderBy("x").collect()] == [-2, 0, 2]
-    assert [r.x for r in tr.domain(df, 0, 10).orderBy("x").collect()] == [0, 5, 10]
-    assert [r.y for r in tr.clip(df, 3, 5).orderBy("x").collect()] == [3, 4, 5]
-
-
-@pytest.mark.parametrize("s", [tr.Scale("identity"), tr.Scale("shift", 3), tr.Scale("linear", 4), tr.Scale("quadratic", 5), tr.Scale("sqrt", 6), tr.Scale("cubic", 7), tr.Scale("cbrt", 8), tr.Scale("exponential", 1.5), tr.Scale("logarithmic", 10)])
-def test_scale_and_inverse(spark, s):
-    df = spark.createDataFrame([(12.34,)], "y double")
-    assert tr.scale(df, s, s.inverse()).first().y == pytest.approx(12.34)
+    v = np.array([-3.5, 0.25, 11.0, 4.75])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "x long, y double")
+    got = lambda t, c="y": [r[c] for r in t.orderBy("x").collect()]
+    assert np.allclose(got(tr.standardize(df)), (v - v.mean()) / v.std())
+    assert np.allclose(got(tr.center(df)), v - v.mean())
+    assert np.allclose(got(tr.domain(df, -4, 6, "y")), -4 + 10 * (v + 3.5) / 14.5)
+    assert got(tr.clip(df, 0, 5)) == [0, 0.25, 5, 4.75]
+
+
+@pytest.mark.parametrize("kind, a", [("identity", 1.0), ("shift", -1.75), ("linear", 0.3), ("quadratic", 2.2), ("sqrt", 0.7), ("cubic", 1.9), ("cbrt", 3.1), ("exponential", 2.4), ("logarithmic", 7.0)])
+def test_scale_and_inverse(spark, kind, a):
+    s = tr.Scale(kind, a)
+    values = [0.05, 1.0, 3.3, 17.2]
+    df = spark.createDataFrame([(v,) for v in values], "y double")
+    assert sorted(r.y for r in tr.scale(df, s, s.inverse()).collect()) == pytest.approx(values)
 
 
 @pytest.mark.parametrize("noise, mean, sd", [
