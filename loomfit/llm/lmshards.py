@@ -1,7 +1,7 @@
 """The whole n-gram model in tries sharded by context.
 
-Documents are dealt into spans by hash. A span asks for each of its distinct
-words once and gets an id and the count over all training documents; then it asks
+Documents are dealt into spans by hash, and a span's texts are read once: its tokens
+then travel as one row. A span asks for each of its distinct words once and gets an id and the count over all training documents; then it asks
 for each of its distinct triples (t, u, w) once, with its own training count. All
 triples around a context word u go to one shard, which holds all that a score
 after u needs: it sums the counts, builds its trie of every pair and triple seen
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +24,52 @@ from .lm import Trie, _place, build_trie, tokens
 from .shingles import WordHashes, mixed
 
 BEGIN, NONE = 2**32 - 1, 2**32 - 2  # ids of the begin, and of nothing before it
+NO_ID = -(2**63)  # stands for a null doc_id inside a span's row
 SPAN = 1 << 24  # characters a span
 MISS = 65535  # code of a where the trie has neither triple nor pair
 ASK = "span int, shard int, n long, a binary, b binary, c binary, counts binary"
 TOLD = "span int, shard int, kind int, a binary, b binary, total long, known long"
+HELD = "doc_ids binary, held binary, sizes binary"
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes: high bytes and runs take little room."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def stretched(blob: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 class _Span:
-    """Distinct words and triples of a span's rows, in an order that depends on the set of rows alone."""
+    """A span's distinct words (hashes), and for each token the place of its word."""
+
+    def __init__(self, words: np.ndarray, w: np.ndarray, sizes: np.ndarray, held: np.ndarray):
+        self.words, self.w, self.sizes, self.held = words, w, sizes, held
+        self.first = np.cumsum(sizes) - sizes
 
-    def __init__(self, table: pa.Table):
+    @classmethod
+    def of_texts(cls, table: pa.Table) -> _Span:
         memo, hashes, sizes = WordHashes(), [], []
         for batch in table.to_batches(max_chunksize=512):
             for text in batch.column("text").to_pylist():
                 h = memo.of(tokens(text))
                 hashes.append(h)
                 sizes.append(len(h))
-        self.sizes = np.array(sizes, np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.held = table.column("held_out").to_numpy()
-        self.words, self.w = np.unique(np.concatenate(hashes), return_inverse=True)
+        words, w, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # frequent words get small places
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(words[order], place[w], np.array(sizes, np.int64), table.column("held_out").to_numpy(zero_copy_only=False))
+
+    @classmethod
+    def of_row(cls, table: pa.Table) -> _Span:
+        """From the one row that `_take_in` made."""
+        of = lambda c, t: np.frombuffer(table.column(c)[0].as_py(), t)
+        w = stretched(table.column("b")[0].as_py(), "<u4").astype(np.int64)
+        return cls(of("a", "<u8"), w, of("sizes", "<i8"), of("held", "?"))
 
     def trained(self) -> np.ndarray:
         return np.repeat(~self.held, self.sizes).astype(float)
@@ -78,30 +105,38 @@ def _runs(shard: np.ndarray):
 
 
 def _asked(span: int, shard: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> pa.Table:
-    rows = [(span, s, hi - lo, *[c[lo:hi].tobytes() for c in columns], *[b""] * (3 - len(columns)), counts[lo:hi].astype("<u4").tobytes()) for s, lo, hi in _runs(shard)]
+    rows = [(span, s, hi - lo, *[squeezed(c[lo:hi]) for c in columns], *[b""] * (3 - len(columns)), squeezed(counts[lo:hi].astype("<u4"))) for s, lo, hi in _runs(shard)]
     types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
     return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["span", "shard", "n", "a", "b", "c", "counts"])
 
 
-def _ask_words(shards: int):
+def _take_in(shards: int):
+    """Reads a span's texts, once: a row (shard -1) that holds its tokens, and its words for each shard."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        span = _Span(table)
+        span = _Span.of_texts(table)
         shard = span.word_shard(shards)
         order = np.argsort(shard, kind="stable")
         counts = np.bincount(span.w, span.trained(), len(span.words))
-        return _asked(key[0].as_py(), shard[order], [span.words[order]], counts[order])
+        asked = _asked(key[0].as_py(), shard[order], [span.words[order]], counts[order])
+        for name in ("doc_ids", "held", "sizes"):
+            asked = asked.append_column(name, pa.nulls(len(asked), pa.binary()))
+        ids = table.column("doc_id").combine_chunks()
+        ids = ids.fill_null(NO_ID).to_numpy()
+        own = (key[0].as_py(), -1, len(span.w), span.words.tobytes(), squeezed(span.w.astype("<u4")), None, None, ids.tobytes(), span.held.tobytes(), span.sizes.tobytes())
+        return pa.concat_tables([pa.Table.from_arrays([pa.array([v], t) for v, t in zip(own, asked.schema.types)], schema=asked.schema), asked])
 
     return run
 
 
 def _joined(table: pa.Table, name: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
+    return np.concatenate([np.empty(0, dtype), *(stretched(x, dtype) for x in table.column(name).to_pylist())])
 
 
 def _told(table: pa.Table, kind: int, shard: int, a: np.ndarray, b: np.ndarray, total: int = 0, known: int = 0) -> pa.Table:
     """Answers to every row of table; the sums stand in the first."""
     ends = np.cumsum(table.column("n").to_numpy())
-    cut = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
+    cut = lambda x: pa.array([squeezed(x[lo:hi]) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
     n = len(ends)
     once = lambda x: pa.array([x] + [0] * (n - 1), pa.int64())
     same = lambda x: pa.array([x] * n, pa.int32())
@@ -133,7 +168,7 @@ def _take_words(span: _Span, told: pa.Table, shards: int) -> tuple[np.ndarray, n
 
 def _ask_triples(shards: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        span = _Span(table)
+        span = _Span.of_row(table)
         span.triples(_take_words(span, told, shards)[0], shards)
         t, u, w, shard = span.ask
         counts = np.bincount(span.at, span.trained(), len(u))
@@ -187,7 +222,7 @@ def _tell_triples(least: int):
 
 def _score(shards: int, mass: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        span = _Span(table)
+        span = _Span.of_row(table)
         kind = told.column("kind").to_numpy()
         ids, counts = _take_words(span, told.filter(pa.array(kind == 1)), shards)
         span.triples(ids, shards)
@@ -196,7 +231,8 @@ def _score(shards: int, mass: float):
         p1 = ((counts + 0.1) / mass)[span.w]
         p = np.where(a < MISS, 10 ** (a / -4096.0), 0) + 10 ** (b / -4096.0) * p1
         add = lambda x: pa.array(np.add.reduceat(x, span.first))
-        return pa.Table.from_arrays([table.column("doc_id"), table.column("held_out"), pa.array(span.sizes), add((counts > 0).astype(np.int64)[span.w]), add(np.log10(p1)), add(np.log10(p))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        ids = np.frombuffer(table.column("doc_ids")[0].as_py(), "<i8")
+        return pa.Table.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(span.held), pa.array(span.sizes), add((counts > 0).astype(np.int64)[span.w]), add(np.log10(p1)), add(np.log10(p))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -207,12 +243,14 @@ def whole_scores(docs: DataFrame, least: int) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     spans = max(shards, -(-chars // SPAN))
     docs = docs.withColumn("span", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spans)).cast("int"))
-    asked = docs.groupBy("span").applyInArrow(_ask_words(shards), ASK)
+    # texts are read and shuffled once; later steps take each span's tokens from its row
+    taken = written(docs.groupBy("span").applyInArrow(_take_in(shards), f"{ASK}, {HELD}").withColumn("own", F.col("shard") < 0), "spans", "own")
+    own, asked = taken.where("own").drop("own"), taken.where("not own").select("span", "shard", "n", "a", "counts")
     words = written(asked.groupBy("shard").applyInArrow(_tell_words(shards), TOLD), "words")
     sums = words.agg(F.sum("total"), F.sum("known")).first()
     total, known = int(sums[0] or 0), int(sums[1] or 0)
-    asked = docs.groupBy("span").cogroup(words.groupBy("span")).applyInArrow(_ask_triples(shards), ASK)
+    asked = own.groupBy("span").cogroup(words.groupBy("span")).applyInArrow(_ask_triples(shards), ASK)
     told = words.union(written(asked.groupBy("shard").applyInArrow(_tell_triples(least), TOLD), "triples"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = docs.groupBy("span").cogroup(told.groupBy("span")).applyInArrow(_score(shards, total + 0.1 * (known + 1)), schema)
+    out = own.groupBy("span").cogroup(told.groupBy("span")).applyInArrow(_score(shards, total + 0.1 * (known + 1)), schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
