@@ -1,11 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 The model holds every word, and every pair and triple seen at least ``least``
-times in the training documents, in tries sharded by context (``lmshards``). With
-``vocabulary`` or ``ngrams`` given it is one trie instead, of the most frequent
-words and at most ``ngrams`` pairs and triples a level (both bounds take whole
-levels of equal counts, from the top), which every worker maps whole; words
-outside that vocabulary are then looked up by a join.
+times in the training documents, in tries sharded by context (``lmshards``).
 
 A level is a monotone Elias-Fano sequence of word ids, each range of siblings
 raised by the last value of the range before, so that a child is found by a
@@ -25,17 +21,12 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod_col, lean, parallelism, small_batches, top_levels, written
-from .shingles import mixed
+from .common import crc_mod_col, small_batches
 
 END = b""
 DISCOUNT = 0.75
@@ -152,7 +143,7 @@ def decoded(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Pairs and triples over ids 0..M-1; id M-2 is the end, M-1 the begin."""
+    """Pairs and triples over ids 0..M-1."""
 
     def __init__(self, words: int, levels: list[Level], back1: np.ndarray):
         self.words, self.levels, self.back1 = words, levels, back1
@@ -220,15 +211,6 @@ class Trie:
         out[known[hit]] = decoded(self.levels[1].prob[found[hit]])
         return out
 
-    def score(self, first: np.ndarray, u: np.ndarray, w: np.ndarray, log1: np.ndarray) -> np.ndarray:
-        """Of running texts that begin at the places first: the pair before a token
-        is the pair that the token before it ended."""
-        at, p2 = self.pairs(u, w, log1)
-        ctx = np.empty_like(at)
-        ctx[1:] = at[:-1]
-        ctx[first] = -1
-        return self.given(ctx, w, p2)
-
 
 def tokens(text: str | None) -> list[bytes]:
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -236,119 +218,6 @@ def tokens(text: str | None) -> list[bytes]:
     return w
 
 
-def _texts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 23) -> Iterator[list]:
-    """Texts in spans of a bounded size, whatever the size of the batches."""
-    held, size = [], 0
-    for b in batches:
-        for text in b.column("text").to_pylist():
-            held.append(text)
-            size += len(text or "")
-            if size > chars:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c: Counter = Counter()
-    for texts in _then_end(_texts(batches)):
-        for text in texts or ():
-            c.update(tokens(text))
-        if not c or texts is not None and len(c) < HELD:
-            continue
-        yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
-        c = Counter()
-
-
-def _contexts(texts: list, ids: dict[bytes, int], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[bytes]]:
-    """(u, w) of every token of the texts, where each text begins, tokens a text, and
-    all tokens."""
-    ws, sizes = [], []
-    for text in texts:
-        w = tokens(text)
-        ws += w
-        sizes.append(len(w))
-    w = np.fromiter(map(ids.get, ws, repeat(-1)), np.int64, len(ws))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
-    u = np.empty_like(w)
-    u[1:] = w[:-1]
-    u[first] = begin
-    return u, w, first, sizes, ws
-
-
-HELD = 1 << 19  # distinct words or n-grams that a worker sums before it passes them on
-PACKED = "bucket int, keys binary, counts binary"
-
-
-def _then_end(parts):
-    yield from parts
-    yield None
-
-
-def _added(runs: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of several (keys, counts)."""
-    if len(runs) == 1:
-        return runs[0]
-    keys, at = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([r[1] for r in runs]), len(keys)).astype(np.int64)
-
-
-def _dealt(spans: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs the keys of a task's spans, summed as far as memory allows."""
-    runs: list = []
-    for keys in _then_end(spans):
-        if keys is not None and len(keys):
-            runs.append(np.unique(keys, return_counts=True))
-        if runs and (keys is None or sum(len(r[0]) for r in runs) > 4 * HELD):
-            runs = [_added(runs)]
-            if keys is None or len(runs[0][0]) > 2 * HELD:
-                yield _packed(*runs.pop(), buckets)
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Distinct sorted keys with their counts, dealt by hash into buckets: a few
-    rows of long sorted runs of differences, which shuffle in less room than rows."""
-    bucket = (mixed(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    keys, counts = keys[order], counts[order].astype("<u4")
-    held, first = np.unique(bucket[order], return_index=True)
-    ends = [*first[1:].tolist(), len(keys)]
-    runs = [(np.diff(keys[lo:hi], prepend=0).astype("<i8").tobytes(), counts[lo:hi].tobytes()) for lo, hi in zip(first.tolist(), ends)]
-    return pa.RecordBatch.from_arrays([pa.array(held), pa.array([r[0] for r in runs], pa.binary()), pa.array([r[1] for r in runs], pa.binary())], ["bucket", "keys", "counts"])
-
-
-def _merged(least: int, hold: int = 1 << 22):
-    """Sums of the runs of a partition's buckets, from `least` on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, size = [], 0
-        for b in batches:
-            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                runs.append((np.cumsum(np.frombuffer(k, "<i8")), np.frombuffer(c, "<u4").astype(np.int64)))
-                size += len(runs[-1][0])
-            if size > hold and len(runs) > 1:
-                runs, size = [_added(runs)], 0
-        if runs:
-            keys, counts = _added(runs)
-            at = counts >= least
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(counts[at])], ["key", "c"])
-
-    return run
-
-
-def _count_pairs(ids: dict[bytes, int], m: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keys():
-            for texts in _texts(batches):
-                u, w, *_ = _contexts(texts, ids, m - 1)
-                yield (u * m + w)[(u >= 0) & (w >= 0)]
-
-        return _dealt(keys(), buckets)
-
-    return run
-
-
 def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.full(len(x), -1)
@@ -356,44 +225,6 @@ def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def _count_triples(ids: dict[bytes, int], m: int, pairs, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pairs.value
-
-        def keys():
-            for texts in _texts(batches):
-                u, w, first, *_ = _contexts(texts, ids, m - 1)
-                at = np.full(len(w), -1)
-                both = np.flatnonzero((u >= 0) & (w >= 0))
-                at[both] = _place(known, u[both] * m + w[both])
-                before = np.append(-1, at[:-1])  # the pair that the token before ended
-                before[first] = -1
-                ok = (at >= 0) & (before >= 0)
-                yield before[ok] * m + w[ok]
-
-        return _dealt(keys(), buckets)
-
-    return run
-
-
-def _top(runs: DataFrame, parts: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and counts; at most `most` rows of two numbers come to the driver."""
-    sums = written(runs.repartition(parts, "bucket").mapInArrow(_merged(least), "key long, c long"), "ngrams")
-    kept = top_levels(sums, "c", most).toArrow()
-    key, c = kept.column("key").to_numpy(), kept.column("c").to_numpy()
-    order = np.argsort(key)
-    return key[order], c[order]
-
-
-class Model:
-    def __init__(self, ids: dict[bytes, int], counts: np.ndarray, total: int, distinct: int, blob):
-        self.ids, self.counts, self.total, self.distinct, self.blob = ids, counts, total, distinct, blob
-
-    @property
-    def mass(self) -> float:
-        return self.total + 0.1 * (self.distinct + 1)
-
-
 def build_trie(counts: np.ndarray, mass: float, m: int, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> Trie:
     """counts: of the ids, as contexts; the begin counts as often as the end."""
     p1 = (counts[: m - 1] + 0.1) / mass
@@ -411,68 +242,10 @@ def build_trie(counts: np.ndarray, mass: float, m: int, pairs: tuple[np.ndarray,
     return Trie(m, [first, Level.of(at, x, len(u), coded(p3), np.zeros(0, np.uint16))], back1)
 
 
-def train(docs: DataFrame, words: DataFrame, vocabulary: int, ngrams: int, least: int) -> Model:
-    """docs: the training documents; words(word, c): their whole word counts."""
-    spark = docs.sparkSession
-    sums = words.agg(F.sum("c"), F.count("*")).first()
-    total, distinct = int(sums[0] or 0), int(sums[1])
-    top = top_levels(words.where((F.length("word") <= 64) & (F.length("word") > 0)), "c", vocabulary).collect()
-    top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
-    end = words.where(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
-    ids = {bytes(r["word"]): i for i, r in enumerate(top)} | {END: len(top)}
-    m = len(top) + 2
-    counts = np.array([r["c"] for r in top] + [end, end], float)
-    parts = parallelism(spark)
-    pairs = _top(docs.mapInArrow(lean(_count_pairs(ids, m, 4 * parts)), PACKED), parts, least, ngrams)
-    keys = spark.sparkContext.broadcast(pairs[0])
-    triples = _top(docs.mapInArrow(lean(_count_triples(ids, m, keys, 4 * parts)), PACKED), parts, least, ngrams)
-    keys.unpersist()
-    model = Model(ids, counts, total, distinct, None)
-    model.blob = spark.sparkContext.broadcast(build_trie(counts, model.mass, m, pairs, triples).to_bytes())
-    return model
-
-
-def _score(model: Model):
-    ids, begin, blob = model.ids, len(model.counts) - 1, model.blob
-    log1 = np.append(np.log10((model.counts[:-1] + 0.1) / model.mass) if len(model.counts) else [], 0.0)  # -1: added later
-    seen = np.append(model.counts[:-1] > 0, False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.mapped(blob.value)
-        trie.levels[0].decode()
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                u, w, first, sizes, ws = _contexts(part.column("text").to_pylist(), ids, begin)
-                one = log1[w]
-                base, score = np.add.reduceat(one, first), np.add.reduceat(trie.score(first, u, w, one), first)
-                known = np.add.reduceat(seen[w].astype(np.int64), first)
-                odd = np.flatnonzero(w < 0)
-                ends = np.append(0, np.cumsum(np.add.reduceat((w < 0).astype(np.int32), first, dtype=np.int32))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array([ws[i] for i in odd.tolist()], pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(score), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    return run
-
-
-def lm_scores(docs: DataFrame, held_of: int = 10, vocabulary: int | None = None, ngrams: int | None = None, least: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, held_of: int = 10, least: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
+    from .lmshards import whole_scores
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
-    docs = docs.withColumn("held_out", crc_mod_col(F.col("doc_id"), held_of) == 0)
-    if vocabulary is None and ngrams is None:
-        from .lmshards import whole_scores
-
-        return whole_scores(docs, least)
-    vocabulary, ngrams = vocabulary or 1 << 16, ngrams or 1 << 20
-    fit = docs.where("not held_out").select("text")
-    words = written(fit.mapInArrow(lean(_count_words), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    model = train(fit, words, vocabulary, ngrams, least)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"
-    scored = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_score(model)), schema), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
-    log1 = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(model.mass))
-    rare = rare.groupBy("row").agg(F.sum(log1).alias("log1"), F.count("c").alias("more"))
-    out = scored.drop("rare").join(rare, "row", "left")
-    add = F.coalesce("log1", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + add).alias("base_score"), (F.col("score") + add).alias("score"))
+    return whole_scores(docs.withColumn("held_out", crc_mod_col(F.col("doc_id"), held_of) == 0), least)
