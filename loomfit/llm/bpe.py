@@ -190,12 +190,21 @@ class _Memo(dict):
     """Packed ids of words, in two generations: when the young one is full it becomes
     the old one, and words in use come back from there."""
 
-    BOUND = 1 << 17
+    BOUND = 1 << 18
+    _known: tuple[int, _Memo] | None = None
 
     def __init__(self, ranks, dictionary):
         super().__init__()
         self.ranks, self.kept, self.old = ranks, dictionary, {}
 
+    @classmethod
+    def of_worker(cls, ranks, dictionary) -> _Memo:
+        """The memo that this process has for these ranks from tasks before, or a new one."""
+        mark = hash(frozenset(ranks.items()))
+        if cls._known is None or cls._known[0] != mark:
+            cls._known = mark, cls(ranks, dictionary)
+        return cls._known[1]
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.BOUND:
             self.old = dict(self)
@@ -207,25 +216,34 @@ class _Memo(dict):
         return ids
 
 
+def joined(pieces: pa.Array, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Decoded bytes of lists of ids that end at the given places: taken pieces lie
+    one after the other in one buffer, which is cut at the ends of the lists."""
+    if not len(ids):
+        return pa.array([b""] * (len(ends) - 1), pa.binary())
+    _, offsets, data = pieces.take(ids).buffers()
+    cuts = np.frombuffer(offsets, "<i4", len(ids) + 1)[ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(cuts), data])
+
+
 def _encoder(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, list[int]], rows: int = 512):
     # the regex module's own \s may differ from Unicode White_Space
     spelt = pattern.replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}")
     kept = {w: packed(ids) for w, ids in dictionary.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, find = _Memo(ranks, kept), regex.compile(spelt).findall
-        pieces = [b""] * (max(ranks.values(), default=0) + 1)
+        memo, find = _Memo.of_worker(ranks, kept), regex.compile(spelt).findall
+        by_id = [b""] * (max(ranks.values(), default=0) + 1)
         for k, v in ranks.items():
-            pieces[v] = k
-        piece = pieces.__getitem__
+            by_id[v] = k
+        pieces = pa.array(by_id, pa.binary())
         for whole in batches:
             for lo in range(0, whole.num_rows, rows):
                 b = whole.slice(lo, rows)
                 codes = [b"".join(map(memo.__getitem__, find(t))) if t else b"" for t in b.column("text").to_pylist()]
                 ends = np.cumsum([0, *(len(c) // 4 for c in codes)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4")))
-                decoded = [b"".join(map(piece, np.frombuffer(c, "<i4").tolist())) for c in codes]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                flat = pa.array(np.frombuffer(b"".join(codes), "<i4"))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat), joined(pieces, flat, ends)], ["doc_id", "ids", "decoded"])
 
     return run
 
