@@ -3,8 +3,8 @@
 Each view has its own logistic regression. In each round a view labels the
 unlabelled documents of which it is confident and hands them to the other view.
 Each view is calibrated on labelled rows kept out of training, and a last
-logistic regression combines the two calibrated views. Training runs on the
-driver over at most ``sample`` labelled and as many unlabelled rows (features of
+logistic regression combines the two calibrated views. Training runs in one task
+over at most ``sample`` labelled and as many unlabelled rows (features of
 fixed width); every document is then scored in one pass without a shuffle.
 
 Defined results: a null or empty text has all-zero text features; null metadata
@@ -16,6 +16,7 @@ result; extra columns pass through ``keep_good``.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -142,14 +143,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     asked = marks.unionByName(pool.withColumn("quality", F.lit(None).cast("double"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     got = _views(docs).join(F.broadcast(asked), "doc_id").mapInArrow(lean(_features), "doc_id long, quality double, t binary, m binary")
     # one row a doc_id, however many rows share it
-    got = got.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.struct("t", "m")).alias("f")).select("doc_id", "quality", "f.t", "f.m").toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending")])
-    y = got.column("quality").to_numpy()
+    got = got.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.struct("t", "m")).alias("f")).select("doc_id", "quality", "f.t", "f.m")
+    # the bounded sample is trained on in one task, so the driver only gets the model
+    return pickle.loads(got.repartition(1).mapInArrow(lean(_trained), "model binary").first()[0])
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.float64()), ("t", pa.binary()), ("m", pa.binary())])
+    got = pa.Table.from_batches([b.cast(schema) for b in batches], schema).sort_by([("doc_id", "ascending"), ("t", "ascending")])
+    y = got.column("quality").to_numpy().astype(float)
     x = [np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(-1, n) for c, n in (("t", TEXT_WIDTH), ("m", META_WIDTH))]
-    known = ~np.isnan(y.astype(float))
-    model = co_train([v[known] for v in x], y[known].astype(float), [v[~known] for v in x])
-    del got, x
-    pa.default_memory_pool().release_unused()
-    return model
+    del got
+    known = ~np.isnan(y)
+    model = co_train([v[known] for v in x], y[known], [v[~known] for v in x])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def _score(model: Model):
