@@ -81,17 +81,23 @@ class CentroidGraph:
         far = np.random.default_rng(1).integers(0, k, (k, 4))  # long edges keep the graph connected
         ring = (np.arange(k)[:, None] + 1) % k
         self.edges = np.hstack([near, far, ring])
-        self.entry = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int))
+        # entries lie far from each other, so that every close group of centroids has one
+        spread, gap = [0], d[0].copy()
+        for _ in range(min(k, max(16, 4 * int(k**0.5))) - 1):
+            spread.append(int(gap.argmax()))
+            gap = np.minimum(gap, d[spread[-1]])
+        self.entry = np.unique(spread)
 
     def search(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, distances) of about the `want` nearest centroids, nearest first."""
-        k, width = len(self.c), min(len(self.c), max(want, 16))
+        k, width = len(self.c), min(len(self.c), max(want, 32))
         ids, dist = np.empty((len(q), width), int), np.empty((len(q), width))
         for i, v in enumerate(q):
             seen = np.zeros(k, bool)
             seen[self.entry] = True
-            pool = self.entry
-            d = ((self.c[pool] - v) ** 2).sum(1)
+            pool, d = self.entry, ((self.c[self.entry] - v) ** 2).sum(1)
+            order = np.argsort(d, kind="stable")[:width]
+            pool, d = pool[order], d[order]
             opened = np.zeros(k, bool)
             while True:
                 todo = pool[~opened[pool]][:8]
@@ -113,7 +119,10 @@ class CentroidGraph:
         return ids[:, :want], np.sqrt(dist[:, :want])
 
 
-def _choose(graph: CentroidGraph, want: int, ratio: float):
+def _choose(graph: CentroidGraph, want: int, ratio: float, lengths: np.ndarray | None = None, need: int = 0):
+    """Lists within the ratio of the nearest one's distance and, if lengths are given,
+    as many further ones as hold `need` rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -121,8 +130,17 @@ def _choose(graph: CentroidGraph, want: int, ratio: float):
             q = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
             lists, dist = graph.search(q, min(want, len(graph.c)))
             keep = dist <= ratio * dist[:, :1] + 1e-12
-            of = pa.array(np.repeat(np.arange(len(q)), keep.sum(1)))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(of), b.column("v").take(of), pa.array(lists[keep].astype(np.int32))], ["vec_id", "v", "list"])
+            chosen = [row[k] for row, k in zip(lists, keep)]
+            if lengths is not None:
+                held = np.cumsum(lengths[lists], axis=1)
+                for i in np.flatnonzero(np.where(keep, lengths[lists], 0).sum(1) < need):
+                    if held[i, -1] >= need:
+                        chosen[i] = lists[i, : np.searchsorted(held[i], need) + 1]
+                    else:  # lists may be short or empty; then all are ranked
+                        every = np.argsort(((graph.c - q[i]) ** 2).sum(1), kind="stable")
+                        chosen[i] = every[: np.searchsorted(np.cumsum(lengths[every]), need) + 1]
+            of = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in chosen]))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(of), b.column("v").take(of), pa.array(np.concatenate(chosen).astype(np.int32))], ["vec_id", "v", "list"])
 
     return run
 
@@ -195,12 +213,13 @@ def _then_end(batches):
     yield None
 
 
-def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20000, list_size: int = 128, replicas: int = 4, replica_ratio: float = 1.05, probes: float = 2.0, ratio: float = 1.3, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20000, list_size: int = 128, replicas: int = 4, replica_ratio: float = 1.15, probes: float = 2.0, ratio: float = 1.5, block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` nearest found for each row of
     vectors for which the expression queries_where holds.
 
     A query may read probes * k^0.7 of k lists (a falling share of them); the ratio
-    of distances prunes below that.
+    of distances prunes below that, but never below lists that hold enough rows for
+    `top` results.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     rows = written(usable(vectors, id_col, vec_col), "vectors")
@@ -220,8 +239,14 @@ def nearest(vectors: DataFrame, queries_where, top: int = 10, id_col: str = "vec
     placed = written(entries.select(F.col("entry").alias("vec_id"), "v").mapInArrow(_choose(graph, replicas, replica_ratio), "vec_id long, v array<double>, list int"), "lists")
     asked = rows.where(queries_where).withColumn("q", F.monotonically_increasing_id())
     asked = written(asked.select("q", "vec_id", "v"), "queries")
-    reads = written(asked.select(F.col("q").alias("vec_id"), "v").mapInArrow(_choose(graph, max(1, int(np.ceil(probes * k**0.7))), ratio), "vec_id long, v array<double>, list int"), "reads")
-    lengths = placed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    lengths = placed.groupBy("list").count()  # a row a list, at most sample / 8
+    held = np.zeros(k, np.int64)
+    for r in lengths.collect():
+        held[r["list"]] = r["count"]
+    # an entry stands in `replicas` lists at most, so this many rows hold top + 1 entries
+    need = replicas * (top + 1)
+    reads = written(asked.select(F.col("q").alias("vec_id"), "v").mapInArrow(_choose(graph, max(1, int(np.ceil(probes * k**0.7))), ratio, held, need), "vec_id long, v array<double>, list int"), "reads")
+    lengths = lengths.select("list", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     askers = reads.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("qparts"))
     cut = F.broadcast(written(lengths.join(askers, "list"), "cut"))  # one row a list, at most sample / 8
     left = placed.join(cut, "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)).alias("qpart"), "vec_id", "v", F.lit(False).alias("query"))

@@ -124,6 +124,24 @@ def test_recall_and_exact_scores(spark):
     assert hit / (10 * len(want)) >= 0.9
 
 
+def test_recall_over_hundreds_of_lists(spark):
+    """Tight groups of many sizes: few lists are read, and each query has all its rows."""
+    rng = np.random.default_rng(3)
+    of = np.concatenate([np.arange(60), rng.choice(60, 25540, p=np.arange(1, 61) ** 2 / np.sum(np.arange(1, 61) ** 2))])
+    v = rng.normal(size=(60, 16))[of] + 0.02 * rng.normal(size=(25600, 16))
+    out = ann.nearest(vectors(spark, v), F.col("vec_id") % 200 == 0, list_size=64).collect()  # 400 lists
+    want = exact(v, range(0, 25600, 200))
+    found = {q: {r.vec_id for r in out if r.query_id == q} for q in want}
+    share = [len(found[q] & {i for i, _ in near}) / 10 for q, near in want.items()]
+    assert all(len(f) == 10 for f in found.values()) and np.mean(share) >= 0.9 and min(share) >= 0.5
+
+
+def test_short_lists_are_filled_up(spark):
+    v = np.vstack([np.eye(8) * (i + 1) for i in range(4)])  # lists of one or two rows
+    out = ann.nearest(vectors(spark, v), F.col("vec_id") % 10 == 0, list_size=1, ratio=1.0, probes=0.1, replicas=1).collect()
+    assert {q: sum(r.query_id == q for r in out) for q in (0, 10, 20, 30)} == {0: 10, 10: 10, 20: 10, 30: 10}
+
+
 def test_copies_ties_and_vectors_that_take_no_part(spark):
     good = [[1.0, 0.0]] * 40 + [[0.0, 1.0], [3.0, 0.0], [0.0, 2.0]]
     bad = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0]]
