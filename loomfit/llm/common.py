@@ -61,6 +61,12 @@ def discard(table: DataFrame) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: joined by merging at every size,
+    so that the driver never gathers it to broadcast it."""
+    return df.hint("merge")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
@@ -91,10 +97,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = written(both, "links")
     label = table = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("l")), "labels")
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "l"), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("m"))
-        step = label.join(near, "id").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
+        near = both.join(merged(label.select(F.col("id").alias("b"), "l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("m"))
+        step = label.join(merged(near), "id").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = label.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        new = written(step.join(jump, "l", "left").select("id", "old", F.least("l", "ll").alias("l")), "labels")
+        new = written(step.join(merged(jump), "l", "left").select("id", "old", F.least("l", "ll").alias("l")), "labels")
         discard(table)
         table = new
         if new.where("l <> old").limit(1).count() == 0:

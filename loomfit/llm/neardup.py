@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lean, written
+from .common import components, lean, merged, written
 from .shingles import WordHashes, set_id, shingle_set
 
 BANDS, ROWS, BATCH = 32, 4, 32
@@ -223,17 +223,17 @@ def _then_end(batches):
 
 def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int, small: bool = False) -> DataFrame:
     """(doc_id, set) of representatives ids(doc_id)."""
-    need = classes.select(F.col("rep").alias("doc_id"), "set_id").join(ids, "doc_id")
-    texts = docs.join(need.select("doc_id"), "doc_id", "left_semi")
+    need = classes.select(F.col("rep").alias("doc_id"), "set_id").join(merged(ids), "doc_id")
+    texts = docs.join(merged(need.select("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(lean(_sets(k, small)), "doc_id long, set_id binary, set binary")
-    return written(sets.join(need, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set"), "sets")
+    return written(sets.join(merged(need), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "set"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs(a, b) whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = _sets_of(ids, docs, classes, k)
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b")
+    both = pairs.select("a", "b").join(merged(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa"))), "a").join(merged(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))), "b")
     return written(both.select("a", "b", "xa", "xb").mapInArrow(lean(_confirm(percent)), "a long, b long"), "verified")
 
 
@@ -245,23 +245,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     # a doc_id whose rows have different sets joins their classes
-    own = full.select("doc_id", "set_id").join(classes.select("set_id", "rep"), "set_id").select("doc_id", "rep").distinct()
+    own = full.select("doc_id", "set_id").join(merged(classes.select("set_id", "rep")), "set_id").select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    same = written(own.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same")
+    same = written(own.join(merged(several), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same")
 
     bands = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)]))
     banded = classes.select("rep", bands.alias("band", "key"))
     crowds = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(crowds, "key"), "members")
+    members = written(banded.join(merged(crowds), "key"), "members")
     weights = members.groupBy("rep").agg(F.sum("n").alias("w"))
-    stars = members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("nr"))).alias("c"))
-    centred = members.join(stars.select("key", (-F.col("c.nr")).alias("center")), "key")
+    stars = members.join(merged(weights), "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("nr"))).alias("c"))
+    centred = members.join(merged(stars.select("key", (-F.col("c.nr")).alias("center"))), "key")
     pairs = centred.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"), "rep").groupBy("a", "b").agg(F.min("rep").alias("rep"))
     sigs = classes.select("rep", "sig")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """(a, b, m): pairs that survive pruning and their equal hashes."""
-        both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+        both = pairs.join(merged(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))), "a").join(merged(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))), "b")
         return written(both.select("a", "b", "sa", "sb").mapInArrow(_prune(t, miss), "a long, b long, m long"), "close")
 
     def ends(pairs: DataFrame, *more: str) -> DataFrame:
@@ -273,32 +273,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     sure = _verified(tried, docs, classes, k, percent)
     found = components(sure.union(same))
     degree = ends(sure).groupBy(F.col("x").alias("rep")).agg(F.count("*").alias("d"))
-    held = members.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").join(degree, "rep", "left")
+    held = members.select("key", "rep").join(merged(found.select(F.col("id").alias("rep"), "component_id")), "rep", "left").join(merged(degree), "rep", "left")
     held = written(held.select("key", "rep", F.coalesce("component_id", "rep").alias("comp"), F.coalesce("d", F.lit(0)).alias("d")), "held")
     hub = held.groupBy("key").agg(F.max(F.struct("d", (-F.col("rep")).alias("nr"), "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and h.d > 0")
-    rays = held.join(hub.select("key", (-F.col("h.nr")).alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
-    rays = rays.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rays = held.join(merged(hub.select("key", (-F.col("h.nr")).alias("hub"), F.col("h.comp").alias("hub_comp"))), "key").where("comp <> hub_comp")
+    rays = rays.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(merged(tried), ["a", "b"], "left_anti")
     new = written(alike(rays).select("a", "b"), "rays")
     tried = tried.union(new)
     sure = sure.union(_verified(new, docs, classes, k, percent))
     found = components(sure.union(same))
 
     # what one bucket holds but no link has joined yet
-    held = members.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("key", "band", "rep", F.coalesce("component_id", "rep").alias("comp"))
+    held = members.join(merged(found.select(F.col("id").alias("rep"), "component_id")), "rep", "left").select("key", "band", "rep", F.coalesce("component_id", "rep").alias("comp"))
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
-    open_ = written(held.join(sizes.select("key", F.col("n").alias("rows"), (F.col("n") - F.col("top.n")).alias("left"), F.col("top.comp").alias("top")), "key"), "open")
+    open_ = written(held.join(merged(sizes.select("key", F.col("n").alias("rows"), (F.col("n") - F.col("top.n")).alias("left"), F.col("top.comp").alias("top"))), "key"), "open")
     small = _sets_of(open_.select(F.col("rep").alias("doc_id")).distinct(), docs, classes, k, small=True)
-    open_ = open_.join(sigs, "rep").join(small.withColumnRenamed("doc_id", "rep"), "rep").withColumn("major", F.col("comp") == F.col("top"))
+    open_ = open_.join(merged(sigs), "rep").join(merged(small.withColumnRenamed("doc_id", "rep")), "rep").withColumn("major", F.col("comp") == F.col("top"))
     nq, nt = F.ceil(F.col("left") / block).cast("int"), F.ceil(F.col("rows") / (4 * block)).cast("int")
     row = ("key", "band", "rep", "comp", "major", "sig", "set")
     asks = open_.where("not major").select(*row, F.pmod(F.xxhash64("rep"), nq).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), nt - 1)).alias("tb"), F.lit(True).alias("query"))
     targets = open_.select(*row, F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"), F.pmod(F.xxhash64("rep"), nt).cast("int").alias("tb"), F.lit(False).alias("query"))
     cells = asks.unionByName(targets).repartition("key", "qb", "tb").sortWithinPartitions("key", "qb", "tb")
-    more = written(cells.mapInArrow(lean(_cells(percent, miss)), "a long, b long").distinct(), "more").join(tried, ["a", "b"], "left_anti")
+    more = written(cells.mapInArrow(lean(_cells(percent, miss)), "a long, b long").distinct(), "more").join(merged(tried), ["a", "b"], "left_anti")
     links = _verified(written(more, "cross"), docs, classes, k, percent).union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
     found = components(links)
 
-    named = written(classes.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    named = written(classes.join(merged(found.select(F.col("id").alias("rep"), "component_id")), "rep", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    out = signed.select("doc_id", "n_shingles", "set_id").join(merged(named), "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
