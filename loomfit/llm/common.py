@@ -49,11 +49,23 @@ def written(df: DataFrame, name: str = "t", partition_by: str | None = None) ->
         (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     finally:
         spark.conf.set(_CLEAN, old)
+    tidy(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table._loomfit_path = path
     return table
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage once it fills a third of the heap. Plans, compiled
+    classes and broadcasts of jobs that are over pile up there in a job of many tables,
+    and Spark frees broadcasts and shuffles only after a collection (otherwise every
+    half hour); a full one also gives memory back to the system."""
+    vm = spark.sparkContext._jvm.java.lang
+    heap = vm.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > heap.maxMemory() // 3:
+        vm.System.gc()
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that `written` made, once nothing will read it again."""
     spark = table.sparkSession
