@@ -6,7 +6,8 @@ equal windows, whatever their positions, share an anchor at one same offset
 below PERIOD. Anchors that two different texts hold mark where windows can
 repeat; from those anchors the match is extended to whole windows, which alone
 are hashed (128 bits) and settled by their smallest doc_id. No pairs are made:
-a passage in any number of documents costs one aggregated row a task.
+a passage in any number of documents costs one aggregated row a task, and is
+joined back by hash and share of the documents, so its rows meet in no one task.
 
 Whole copies are settled by the hash of the text: each loses all its windows to
 the smallest doc_id of its class.
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import words, written
 from .shingles import WordHashes, windows, windows2
 
+#: Shares of the documents by hash; as many as a long has bits.
+SHARES = 64
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -58,8 +61,8 @@ def _emit_anchors(size: int, positions: bool):
             if not n:
                 continue
             of = pa.array(_ids(n))
-            cols = [pa.array(np.concatenate(hs), pa.int64()), b.column("t").take(of)]
-            names = ["h", "t"]
+            cols = [pa.array(np.concatenate(hs), pa.int64()), b.column("t").take(of), b.column("s").take(of)]
+            names = ["h", "t", "s"]
             if positions:
                 cols += [b.column("doc_id").take(of), pa.array(np.concatenate(ats).astype(np.int32))]
                 names += ["doc_id", "at"]
@@ -87,7 +90,7 @@ def _emit_windows(size: int):
             if not n:
                 continue
             of = pa.array(_ids(n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (hs, gs)] + [b.column("doc_id").take(of), b.column("t").take(of), pa.array(np.concatenate(ps).astype(np.int32))], ["h", "g", "doc_id", "t", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (hs, gs)] + [b.column(c).take(of) for c in ("doc_id", "t", "s")] + [pa.array(np.concatenate(ps).astype(np.int32))], ["h", "g", "doc_id", "t", "s", "at"])
 
     return run
 
@@ -117,6 +120,18 @@ def _cut(size: int, keep_text: bool):
     return run
 
 
+def _spots() -> Column:
+    """Aggregate: which shares `s` of the documents hold a key, a bit each."""
+    return F.bit_or(F.expr("shiftleft(1L, int(s))")).alias("spots")
+
+
+def _each_spot(keys: DataFrame) -> DataFrame:
+    """A row for each share that holds a key, so that a join by key and share deals the
+    rows of a key that very many documents hold over SHARES tasks."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda s: F.getbit("spots", s) == 1)
+    return keys.withColumn("s", F.explode(held.cast("array<tinyint>"))).drop("spots")
+
+
 def drop_repeats(docs: DataFrame, size: int = 50, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]), a row for each row of docs.
 
@@ -125,22 +140,25 @@ def drop_repeats(docs: DataFrame, size: int = 50, keep_text: bool = True) -> Dat
     if size < PERIOD + 2:
         raise ValueError(f"windows need at least {PERIOD + 2} words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("t", F.xxhash64("text"))
+    docs = docs.withColumn("t", F.xxhash64("text")).withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("tinyint"))
     live = docs.where("doc_id is not null and text is not null")
     # a text that is another's copy holds no anchor "in a different text"
-    shared = live.select("text", "t").mapInArrow(_emit_anchors(size, False), "h long, t long")
-    shared = written(shared.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h"), "shared")
-    marked = live.mapInArrow(_emit_anchors(size, True), "h long, t long, doc_id long, at int").join(shared, "h")
+    shared = live.select("text", "t", "s").mapInArrow(_emit_anchors(size, False), "h long, t long, s byte")
+    shared = shared.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), _spots()).where("lo <> hi").select("h", "spots")
+    shared = _each_spot(written(shared, "shared"))
+    marked = live.mapInArrow(_emit_anchors(size, True), "h long, t long, s byte, doc_id long, at int").join(shared, ["h", "s"])
     marked = written(marked.groupBy("doc_id", "t").agg(F.collect_set("at").alias("ats")), "marked")
 
-    prints = live.select("doc_id", "t", F.md5("text").alias("m"))
-    first = prints.groupBy("m").agg(F.min("doc_id").alias("rep"))
-    judged = written(prints.join(first, "m").select("doc_id", "t", (F.col("doc_id") > F.col("rep")).alias("copy")).distinct(), "judged")
+    prints = live.select("doc_id", "t", "s", F.md5("text").alias("m"))
+    first = prints.groupBy("m").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), _spots()).where("rep < last")
+    copies = prints.join(_each_spot(first.select("m", "rep", "spots")), ["m", "s"], "left")
+    judged = written(copies.select("doc_id", "t", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)).alias("copy")).distinct(), "judged")
     ask = marked.join(judged.where("not copy").select("doc_id", "t"), ["doc_id", "t"])
-    held = live.join(ask, ["doc_id", "t"]).select("text", "doc_id", "t", "ats")
-    held = written(held.mapInArrow(_emit_windows(size), "h long, g long, doc_id long, t long, at int"), "windows")
-    least = written(held.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo"), "least")
-    lost = held.join(least, ["h", "g"]).where("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_set("at").alias("ats"))
+    held = live.join(ask, ["doc_id", "t"]).select("text", "doc_id", "t", "s", "ats")
+    held = written(held.mapInArrow(_emit_windows(size), "h long, g long, doc_id long, t long, s byte, at int"), "windows")
+    least = held.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), _spots()).where("lo < hi").select("h", "g", "lo", "spots")
+    least = _each_spot(written(least, "least"))
+    lost = held.join(least, ["h", "g", "s"]).where("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_set("at").alias("ats"))
     facts = written(judged.join(lost, ["doc_id", "t"], "left").where("copy or ats is not null"), "facts")
     final = docs.join(facts, ["doc_id", "t"], "left").select("doc_id", "text", "copy", "ats")
     return final.mapInArrow(_cut(size, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))

@@ -118,6 +118,17 @@ def test_substrings_of_smaller_windows_and_kept_texts(spark):
         sb.drop_repeats(cases.docs(spark, rows), size=20)
 
 
+def test_a_text_and_a_passage_that_many_documents_hold(spark):
+    rng = random.Random(4)
+    whole, part = cases.prose(rng, 70), cases.prose(rng, 55)
+    rows = [(i, whole if i % 3 == 0 else f"{cases.prose(rng, 9)} {part} {cases.prose(rng, 9)}") for i in rng.sample(range(-400, 400), 300)]
+    out = sb.drop_repeats(cases.docs(spark, rows), keep_text=False)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()), key=key)
+    assert got == sorted(cases.drop_repeats(rows), key=key)
+    shares = {tuple(r) for r in sb._each_spot(spark.range(130).selectExpr("id % 2 as h", "cast(id % 64 as tinyint) as s").groupBy("h").agg(sb._spots())).collect()}
+    assert shares == {(i % 2, i % 64) for i in range(130)}
+
+
 def test_every_shift_shares_an_anchor():
     """Two equal windows, at any two places, share an aligned anchor."""
     held = [set(np.flatnonzero(sb._IN_COVER[(np.arange(sb.PERIOD) + p) % sb.PERIOD])) for p in range(sb.PERIOD)]
