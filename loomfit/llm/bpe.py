@@ -186,11 +186,15 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}i", *ids)
 
 
+#: Code points of a text from which its matches are taken one by one.
+LONG = 1 << 16
+
+
 class _Memo(dict):
     """Packed ids of words, in two generations: when the young one is full it becomes
     the old one, and words in use come back from there."""
 
-    BOUND = 1 << 18
+    BOUND = 1 << 17
     _known: tuple[int, _Memo] | None = None
 
     def __init__(self, ranks, dictionary):
@@ -207,6 +211,7 @@ class _Memo(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.BOUND:
+            self.old = None
             self.old = dict(self)
             self.clear()
         ids = self.old.get(word) or self.kept.get(word)
@@ -231,8 +236,13 @@ def _encoder(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, list[i
     spelt = pattern.replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}")
     kept = {w: packed(ids) for w, ids in dictionary.items()}
 
+    def code(text: str, memo: _Memo, find: regex.Pattern) -> bytes:
+        # the matches of a long text are never all held at once
+        found = find.findall(text) if len(text) <= LONG else (m.group() for m in find.finditer(text))
+        return b"".join(map(memo.__getitem__, found))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, find = _Memo.of_worker(ranks, kept), regex.compile(spelt).findall
+        memo, find = _Memo.of_worker(ranks, kept), regex.compile(spelt)
         by_id = [b""] * (max(ranks.values(), default=0) + 1)
         for k, v in ranks.items():
             by_id[v] = k
@@ -240,7 +250,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str, dictionary: dict[str, list[i
         for whole in batches:
             for lo in range(0, whole.num_rows, rows):
                 b = whole.slice(lo, rows)
-                codes = [b"".join(map(memo.__getitem__, find(t))) if t else b"" for t in b.column("text").to_pylist()]
+                codes = [code(t, memo, find) if t else b"" for t in b.column("text").to_pylist()]
                 ends = np.cumsum([0, *(len(c) // 4 for c in codes)], dtype=np.int32)
                 flat = pa.array(np.frombuffer(b"".join(codes), "<i4"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat), joined(pieces, flat, ends)], ["doc_id", "ids", "decoded"])

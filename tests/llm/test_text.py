@@ -144,3 +144,22 @@ def test_slabs_do_not_change_checksums(monkeypatch):
 def test_resampling():
     assert media.resample(np.array([0, 10, -10], "<i2")).tolist() == [0, 5, 10, 0, -10, -10]
     assert media.resample(np.array([3], "<i2"), 1).tolist() == [3]
+
+
+def test_matches_of_long_texts_are_taken_one_by_one(spark, monkeypatch):
+    import public_tokenizers
+
+    from loomfit.llm import bpe as module
+
+    texts = [(1, "some Words, and 12345 figures\n\n  more " * 40), (2, ""), (3, None), (4, "short")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    ask = lambda: sorted((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in module.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, dictionary=0).collect())
+    whole = ask()
+    assert [d for _, _, d in whole] == [(t or "").encode() for _, t in texts]
+    encode = module._encoder(module.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, {})
+    monkeypatch.setattr(module, "LONG", 3)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts], "text": [t for _, t in texts]})
+    got = [r for b in encode([batch]) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got) == whole
