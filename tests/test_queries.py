@@ -25,6 +25,14 @@ def test_query_gives_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_range_ends_where_its_sql_does(spark, tmp_path):
+    """With 6,000 keys the SQL's 1,000 places end before the data do."""
+    spark.range(3, 6003).selectExpr("id as p_partkey", "900 + (id * 37 % 1000) / 10.0D as p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["predict_range_part"](spark, str(tmp_path))
+    assert got.count() == 1000 and got.agg({"x": "max"}).first()[0] == 4988
+    assert_same(got, connect(str(tmp_path)), ORACLES["predict_range_part"])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
