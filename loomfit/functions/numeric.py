@@ -49,4 +49,4 @@ def binomial(n: Column, k: Column) -> Column:
     """n over k as a double; 0 outside 0..n."""
     steps = F.sequence(F.lit(0), F.greatest(k, F.lit(0)).cast("int"))
     value = F.aggregate(steps, F.lit(1.0), lambda acc, i: F.when(i == 0, acc).otherwise(acc * (n - k + i).cast("double") / F.greatest(i, F.lit(1)).cast("double")))
-    return F.when((k < 0) | (k > n), F.lit(0.0)).otherwise(F.round(value))
+    return F.when((k < 0) | (k > n), F.lit(0.0)).when(k.isNotNull() & n.isNotNull(), F.round(value))

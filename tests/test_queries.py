@@ -33,6 +33,13 @@ def test_range_ends_where_its_sql_does(spark, tmp_path):
     assert_same(got, connect(str(tmp_path)), ORACLES["predict_range_part"])
 
 
+def test_scalar_functions_of_odd_balances(spark, tmp_path):
+    """Large tables hold balances of minus zero; nulls, NaN and infinities compare as in SQL."""
+    odd = [-0.0, 0.0, None, float("nan"), float("inf"), float("-inf"), -0.004, 99.995, -100.5, 1e300]
+    spark.createDataFrame([*enumerate(odd), (None, 1.0)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    assert_same(QUERIES["scalar_functions_customer"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["scalar_functions_customer"])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
