@@ -15,7 +15,7 @@ from ..plans.model import Curve
 from . import moments as mm
 from . import stats
 from .fit import Fit, fit_auto
-from .points import points
+from .points import points, spread_rows
 from .scores import Score, score_of
 
 FAMILIES = ("chebyshev", "fourier", "legendre", "hermite", "hermite_e", "laguerre", "logarithmic")
@@ -30,7 +30,8 @@ def rank_bases(df: DataFrame, x, y, families: Sequence[str] = FAMILIES, bound: s
     score and its measures; only coefficients differ."""
     method, got = score_of(score), []
     shared: tuple[Fit, tuple] | None = None
-    pts = points(df, x, y).persist()
+    pts = points(df, x, y)
+    pts = spread_rows(pts, pts.count()).persist()  # read in many passes, and few rows of a file may be one task
     try:
         for name in families:
             polynomial = isinstance(basis(name), PolynomialBasis)
@@ -47,7 +48,7 @@ def rank_bases(df: DataFrame, x, y, families: Sequence[str] = FAMILIES, bound: s
             value = f.curve.column(F.col("_x"))
             m = stats.residual_metrics(pts, F.col("_y"), value, f.k).first()
             robust = stats.robust_metrics(pts, F.col("_y") - value)
-            measures = (method.scores(pts, [f.curve], f.n)[0], m["r_squared"], robust["robust_r_squared"], m["normality"])
+            measures = (f.score, m["r_squared"], robust["robust_r_squared"], m["normality"])
             curve = f.curve
             if polynomial:
                 shared = f, measures

@@ -7,14 +7,66 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.bases import FourierBasis, PolynomialBasis
 from ..plans.calculus import _second, derivative
 from ..plans.model import Curve
 from . import stats
 
 
+class Residuals:
+    """y less the value of each curve, by numpy for a batch of _x and _y: the steps of
+    Curve.column in the same order, where curves share the functions they are sums of."""
+
+    def __init__(self, curves: Sequence[Curve]):
+        self.steps = []  # kind, family or curve, coefficients, scale, shift
+        self.partial = [c.family.kind == "log" for c in curves]  # null where the logarithm has no value
+        for c in curves:
+            fam = c.family
+            if isinstance(fam, FourierBasis):
+                self.steps.append(("fourier", fam.level, c.coefs, c.domain.scale, c.domain.shift))
+            elif fam.kind == "log":
+                self.steps.append(("log", None, c.coefs, c.domain.scale, c.domain.shift))
+            elif isinstance(fam, PolynomialBasis):
+                power, scale, shift = c.horner()
+                self.steps.append(("power", None, tuple(map(float, power)), scale, shift))
+            else:
+                self.steps.append(("own", c, (), 1.0, 0.0))
+
+    def __call__(self, b: pa.RecordBatch) -> list[np.ndarray]:
+        x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y"))
+        made, out = {}, []
+
+        def once(key, f):
+            if key not in made:
+                made[key] = f()
+            return made[key]
+
+        for kind, own, coefs, scale, shift in self.steps:
+            if kind == "own":
+                out.append(y - own(x))
+                continue
+            at = once((scale, shift), lambda: x * scale + shift)  # noqa: B023
+            if kind == "fourier":
+                v = np.full(len(x), coefs[0])
+                for p in range(1, own + 1):
+                    v += coefs[p] * once(("power", p), lambda: x**p)  # noqa: B023
+                for h in range(1, (len(coefs) - own - 1) // 2 + 1):
+                    for c, wave in zip(coefs[own + 2 * h - 1 : own + 2 * h + 1], (np.sin, np.cos)):
+                        v += c * once((wave, h, scale, shift), lambda: wave(at * h))  # noqa: B023
+            else:
+                t = once(("log", scale, shift), lambda: np.where(at > 0, np.log(np.where(at > 0, at, 1.0)), np.nan)) if kind == "log" else at  # noqa: B023
+                v = np.where(np.isnan(t), t, coefs[-1])
+                for c in coefs[-2::-1]:
+                    v *= t
+                    v += c
+            out.append(y - v)
+        return out
+
+
 class Score:
     """Implement ``of_residuals`` (from n, k, mae, rmse, huber) or override ``scores``."""
 
@@ -25,21 +77,21 @@ class Score:
     def of_residuals(self, n: int, k: int, mae: float, rmse: float, huber: float) -> float:
         raise NotImplementedError
 
-    def _residuals(self, rows: DataFrame, curves: Sequence[Curve]) -> DataFrame:
-        return rows.select(*[(F.col("_y") - c.column(F.col("_x"))).alias(f"_r{i}") for i, c in enumerate(curves)])
-
     def scores(self, rows: DataFrame, curves: Sequence[Curve], n: int) -> list[float]:
-        res = self._residuals(rows, curves)
-        r = [F.col(f"_r{i}") for i in range(len(curves))]
-        huber = [math.nan] * len(r)
+        rows, res, m = rows.select("_x", "_y").where("_x is not null and _y is not null"), Residuals(curves), len(curves)
+        known = stats.sums(rows, lambda b: [~np.isnan(r) if s else np.ones(len(r)) for r, s in zip(res(b), res.partial)], m) if any(res.partial) else [n] * m
+        mean = lambda f: [s / k if k else None for s, k in zip(stats.sums(rows, f, m), known)]
+        given = lambda v: [np.nan_to_num(r, nan=0.0, posinf=math.inf, neginf=-math.inf) if s else r for r, s in zip(v, res.partial)]
+        if not m or not n:
+            return [self.of_residuals(n, c.k, math.nan, math.nan, math.nan) for c in curves]
         if self.needs_huber:
-            med = stats.medians(res, [F.abs(c) for c in r], n)
-            mad = stats.medians(res, [F.abs(F.abs(c) - m) for c, m in zip(r, med)], n)
-            huber = list(res.agg(*[F.avg(stats.huber(c, stats.HUBER * m)).alias(f"h{i}") for i, (c, m) in enumerate(zip(r, mad))]).first())
-            plain = [(math.nan, math.nan)] * len(r)
-        else:
-            plain = [tuple(v) for v in res.agg(*[F.struct(F.avg(F.abs(c)), F.sqrt(F.avg(c * c))).alias(f"p{i}") for i, c in enumerate(r)]).first()]
-        return [self.of_residuals(n, c.k, p[0], p[1], h) for c, p, h in zip(curves, plain, huber)]
+            picked, middle = stats.sampled(rows, n), ((n - 1) // 2, n // 2)
+            med = stats.ranked(rows, lambda b: [abs(r) for r in res(b)], m, n, middle, picked)
+            mad = stats.ranked(rows, lambda b: [abs(abs(r) - v) for r, v in zip(res(b), med)], m, n, middle, picked)
+            huber = mean(lambda b: given([stats.huber_loss(r, stats.HUBER * v) for r, v in zip(res(b), mad)]))
+            return [self.of_residuals(n, c.k, math.nan, math.nan, h) for c, h in zip(curves, huber)]
+        mae, mse = mean(lambda b: given([abs(r) for r in res(b)])), mean(lambda b: given([r * r for r in res(b)]))
+        return [self.of_residuals(n, c.k, a, None if s is None else math.sqrt(s), math.nan) for c, a, s in zip(curves, mae, mse)]
 
     def fold_scores(self, rows: DataFrame, curves: dict[int, dict[int, Curve]], sizes: dict[int, int]) -> dict[int, list[float]]:
         """rows(_f, _x, _y); curves by degree and fold. Scores by degree, one a fold."""

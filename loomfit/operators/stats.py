@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,11 @@ def huber(r: Column, delta) -> Column:
     return F.when(a <= d, 0.5 * r * r).otherwise(d * (a - 0.5 * d))
 
 
+def huber_loss(r: np.ndarray, d: float) -> np.ndarray:
+    a = np.abs(r)
+    return np.where(a <= d, 0.5 * r * r, d * (a - 0.5 * d))
+
+
 def medians(df: DataFrame, cols: list[Column], n: int | None = None, gather: int = 20_000) -> list[float]:
     """Exact medians of several columns at once; 0 without rows."""
     n = df.count() if n is None else n
@@ -35,71 +40,131 @@ def quantile(df: DataFrame, col: Column, share: float, gather: int = 20_000) ->
     return by_rank(rows, [F.col("_v")], n, (rank, rank), gather)[0] if n else None
 
 
-def _inside(brackets: dict[int, tuple[float, float]]):
+#: From a batch of rows to an array for each column.
+Values = Callable[[pa.RecordBatch], Sequence[np.ndarray]]
+
+
+def columns_of(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in b.columns]
+
+
+def _ordered(values: Values, b: pa.RecordBatch) -> list[np.ndarray]:
+    """Nulls and NaN lie above all numbers; minus zero is zero."""
+    return [np.where(np.isnan(v), np.inf, v) + 0.0 for v in values(b)]
+
+
+def _key(v: float) -> int:
+    """Integers in the order of doubles."""
+    bits = int(np.float64(v).view(np.int64))
+    return bits if bits >= 0 else -(2**63) - bits
+
+
+def _cuts(sample: np.ndarray, lo: float, hi: float, shares: tuple[float, float]) -> np.ndarray:
+    """Where to cut [lo, hi]: at the sampled values near both shares of what it holds,
+    or, where few were sampled, in even steps over the doubles in it."""
+    s = sample[np.searchsorted(sample, lo, "right") : np.searchsorted(sample, hi, "right")]
+    if len(s) >= 64:
+        reach = 2 * math.sqrt(len(s)) + 2  # four deviations of a rank in the sample
+        s = s[max(0, int(shares[0] * len(s) - reach)) : int(shares[1] * len(s) + reach) + 1]
+        if len(s):
+            cuts = np.unique(np.concatenate([s, np.nextafter(s[1:][s[1:] == s[:-1]], np.inf)]))  # a frequent value gets a bin of its own
+            return cuts[cuts <= hi]
+    a, b = _key(lo), _key(hi)
+    steps = np.array(sorted({a + (b - a) * j // 1024 for j in range(1, 1025)} - {a}), np.int64)
+    return np.where(steps < 0, np.int64(-(2**63)) - steps, steps).view(np.float64)
+
+
+def _counted(values: Values, cuts: list[tuple[int, float, float, np.ndarray]]):
+    """How many values of a column lie in each bin of a bracket: rows (bracket's start + bin, count)."""
+    starts = np.cumsum([0] + [len(c) + 1 for *_, c in cuts])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(starts[-1], np.int64)
         for b in batches:
-            got = []
-            for i, (lo, hi) in brackets.items():
-                v = b.column(f"c{i}").to_numpy(zero_copy_only=False)
-                got.append(v[(v >= lo) & (v <= hi)])
-            at = np.repeat(np.array(list(brackets), np.int32), [len(v) for v in got])
+            got = _ordered(values, b)
+            for at, (i, lo, hi, c) in zip(starts, cuts):
+                v = got[i]
+                v = v[(v >= lo) & (v <= hi)]
+                mid = v[(v >= c[0]) & (v < c[-1])]
+                n = np.bincount(np.searchsorted(c, mid, "right"), minlength=len(c) + 1)
+                n[0] = np.count_nonzero(v < c[0])
+                n[-1] = len(v) - n[0] - len(mid)
+                total[at : at + len(n)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    return run, starts
+
+
+def _inside(values: Values, brackets: list[tuple[int, float, float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = _ordered(values, b)
+            got = [every[i][(every[i] >= lo) & (every[i] <= hi)] for i, lo, hi in brackets]
+            at = np.repeat(np.arange(len(brackets), dtype=np.int32), [len(v) for v in got])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate(got))], ["i", "v"])
 
     return run
 
 
+def sampled(df: DataFrame, n: int, gather: int = 20_000) -> pa.Table:
+    """Some of n rows: they only propose where to cut, exact counts decide."""
+    return (df.where(F.rand(17) < 10_000 / n) if n > gather else df.limit(0)).toArrow()
+
+
 def by_rank(df: DataFrame, cols: list[Column], n: int, ranks: tuple[int, int], gather: int = 20_000) -> list[float]:
-    """Means of the values at two ranks (from 0, of n rows without nulls).
+    """Means of the values at two ranks (from 0, of n rows without nulls)."""
+    named = [c.cast("double").alias(f"c{i}") for i, c in enumerate(cols)]
+    picked = df.where(F.rand(17) < 10_000 / n).select(*named) if n > gather else df.select(*named).limit(0)
+    return ranked(df.select(*named), columns_of, len(cols), n, ranks, picked.toArrow(), gather)
+
+
+def ranked(df: DataFrame, values: Values, m: int, n: int, ranks: tuple[int, int], picked: pa.Table, gather: int = 20_000) -> list[float]:
+    """As by_rank, of m arrays made from each batch of rows.
 
-    A sample of the values inside a column's bracket proposes a narrower one; an
-    exact count says whether it holds the ranks. Once a bracket holds at most
-    ``gather`` values (about 2 passes for each factor of 40) they are sorted by the
-    driver. All columns share each pass, and none sorts or shuffles rows.
+    A sample proposes bins around each rank, an exact count says which of them holds
+    it (2 passes up to some 20 million rows). Once it holds at most ``gather`` values,
+    or one value, they are sorted by the driver. All columns share each pass, each
+    value is made once a pass, and none sorts or shuffles rows.
     """
-    lo, hi = [-math.inf] * len(cols), [math.inf] * len(cols)
-    below, inside = [0] * len(cols), [n] * len(cols)
-    wide = [1.0] * len(cols)
-    seed, stuck = 17, set()
-    within = lambda i: (cols[i] >= lo[i]) & (cols[i] <= hi[i])
-    while todo := [i for i in range(len(cols)) if inside[i] > gather and i not in stuck]:
-        seed += 1
-        size = min(gather, 10_000)
-        picks = [F.collect_list(F.when(within(i) & (F.col("_u") < size / inside[i]), cols[i])).alias(f"c{i}") for i in todo]
-        edges = {}
-        for i, values in zip(todo, df.withColumn("_u", F.rand(seed)).where(F.col("_u") < max(size / inside[i] for i in todo)).agg(*picks).first()):
-            v, m = np.sort(np.array(values, float)), len(values)
-            reach = wide[i] * 4 * math.sqrt(m) / 2 + 2  # four deviations of a rank in the sample
-            at = [(r - below[i]) / inside[i] * m for r in ranks]
-            a, b = int(at[0] - reach), int(at[1] + reach)
-            edges[i] = (lo[i] if a < 0 else float(v[a]), hi[i] if b >= m else float(v[b]))
-        counts = df.agg(*[F.struct(F.count_if(cols[i] < a), F.count_if((cols[i] >= a) & (cols[i] <= b))).alias(f"c{i}") for i, (a, b) in edges.items()]).first()
-        for i, (under, k) in zip(edges, counts):
-            if under <= ranks[0] and under + k > ranks[1]:
-                if k > 0.9 * inside[i]:  # equal values fill the bracket
-                    stuck.add(i)
-                (lo[i], hi[i]), below[i], inside[i], wide[i] = edges[i], under, k, 1.0
-            else:
-                wide[i] *= 2
-    out: list[float] = [math.nan] * len(cols)
-    few = [i for i in range(len(cols)) if i not in stuck]
+    parts = [_ordered(values, b) for b in picked.to_batches() if b.num_rows]
+    sample = [np.sort(np.concatenate([p[i] for p in parts])) if parts else np.empty(0) for i in range(m)]
+    held = {(i, r): (-math.inf, math.inf, 0, n) for i in range(m) for r in ranks}  # lo, hi, values below, values inside
+    while wide := sorted({(i, lo, hi, under, k) for (i, _), (lo, hi, under, k) in held.items() if k > gather and lo < hi}):
+        of = {w: [r for r in sorted(set(ranks)) if (w[0], *held[w[0], r]) == w] for w in wide}
+        cuts = [(i, lo, hi, _cuts(sample[i], lo, hi, tuple((of[i, lo, hi, under, k][j] - under) / k for j in (0, -1)))) for i, lo, hi, under, k in wide]
+        run, starts = _counted(values, cuts)
+        got = df.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(starts[-1], np.int64)
+        counts[got.column("at").to_numpy()] = got.column("n").to_numpy()
+        for w, start, (i, lo, hi, c) in zip(wide, starts, cuts):
+            ends = w[3] + np.cumsum(counts[start : start + len(c) + 1])
+            for r in of[w]:
+                j = int(np.searchsorted(ends, r, "right"))
+                bin_lo, bin_hi = lo if j == 0 else float(c[j - 1]), hi if j == len(c) else float(np.nextafter(c[j], -math.inf))
+                held[i, r] = bin_lo, bin_hi, int(ends[j - 1]) if j else w[3], int(counts[start + j])
+    few = sorted({(i, lo, hi) for (i, _), (lo, hi, *_) in held.items() if lo < hi})
+    values_of = {}
     if few:
-        got = df.select(*[cols[i].cast("double").alias(f"c{i}") for i in few]).mapInArrow(_inside({i: (lo[i], hi[i]) for i in few}), "i int, v double").toArrow()
+        got = df.mapInArrow(_inside(values, few), "i int, v double").toArrow()
         at, value = got.column("i").to_numpy(), got.column("v").to_numpy()
-        for i in few:
-            v = np.sort(value[at == i])
-            out[i] = float((v[ranks[0] - below[i]] + v[ranks[1] - below[i]]) / 2)
-    for i in stuck:  # few distinct values are left
-        at, got = below[i], []
-        kept = df.where(within(i)).groupBy(cols[i].alias("v")).count().orderBy("v").collect()
-        for r in ranks:
-            pos = at
-            for row in kept:
-                pos += row["count"]
-                if pos > r:
-                    got.append(row["v"])
-                    break
-        out[i] = float(sum(got) / 2)
-    return out
+        values_of = {f: np.sort(value[at == j]) for j, f in enumerate(few)}
+    at = lambda i, r: held[i, r][0] if held[i, r][0] == held[i, r][1] else values_of[i, *held[i, r][:2]][r - held[i, r][2]]
+    return [float((at(i, ranks[0]) + at(i, ranks[1])) / 2) for i in range(m)]
+
+
+def sums(df: DataFrame, values: Values, m: int) -> list[float]:
+    """Of m arrays made from each batch of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(m)
+        for b in batches:
+            total += [float(np.sum(v)) for v in values(b)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+    got = df.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = dict(zip(got.column("i").to_pylist(), got.column("v").to_pylist()))
+    return [out.get(i, 0.0) for i in range(m)]
 
 
 def spread(c: Column) -> Column:

@@ -12,7 +12,7 @@ from loomfit.operators import transforms as tr
 from loomfit.operators.checks import Checks, all_close
 from loomfit.operators.points import with_index
 from loomfit.operators.ranking import rank_bases
-from loomfit.operators.scores import Mae, Shape
+from loomfit.operators.scores import Mae, Shape, score_of
 from loomfit.plans.model import Curve, parse
 
 
@@ -353,6 +353,57 @@ def test_ranking_prefers_the_true_family(spark):
     assert np.allclose(same["chebyshev"](x), same["legendre"](x)) and np.allclose(same["chebyshev"](x), same["laguerre"](x), atol=1e-5)
 
 
+def jobs_of(spark, run):
+    sc = spark.sparkContext
+    group = f"jobs-{id(run)}"
+    sc.setJobGroup(group, "")
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_ranks_take_few_passes(spark):
+    """Bins around a rank narrow a column by more than a thousandth in one pass."""
+    df = spark.range(0, 200_000, 1, 4).select((F.pow(F.col("id") * 7919 % 200_003, 2) - 5e9).alias("a"), F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("b"))
+    v = np.arange(200_000)
+    want = [np.median((v * 7919 % 200_003).astype(float) ** 2 - 5e9), np.median(np.where(v % 3 > 0, 0.0, v))]
+    got, jobs = jobs_of(spark, lambda: stats.medians(df, [F.col("a"), F.col("b")], 200_000, gather=300))
+    assert got == want and jobs <= 5
+
+
+def test_ranks_without_a_useful_sample(spark):
+    """Even steps over the doubles find ranks that the sampled values miss, at the ends too."""
+    v = np.array([-math.inf] * 3 + [-1e300, -1.0, -0.0, 0.0, 5e-324, 1e-9, 2.0] * 100 + [math.inf] * 3 + [math.nan])
+    df = spark.createDataFrame([(float(a),) for a in v], "a double")
+    told, empty = np.sort(v), df.limit(0).toArrow()
+    for r in (0, 250, 703):
+        assert stats.ranked(df, stats.columns_of, 1, len(v), (r, r), empty, gather=5) == [told[r]]
+
+
+@pytest.mark.parametrize("family", ["chebyshev", "logarithmic", "fourier", "fourier_2", "hermite"])
+def test_scores_are_those_of_the_columns(spark, family):
+    """Batches give the errors that a column expression gives."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(rng.uniform(3, 50, 999), rng.normal(size=999))], "_x double, _y double")
+    curves = [Curve(family, tuple(rng.normal(size=k)), 3.0, 50.0) for k in ((5, 7) if family == "fourier_2" else (1, 3, 5))]
+    for c, s, m in zip(curves, score_of("aic").scores(df, curves, 999), score_of("mae").scores(df, curves, 999)):
+        r = [abs(x[0]) for x in df.select(F.col("_y") - c.column(F.col("_x"))).collect()]
+        mad = np.median(np.abs(np.array(r) - np.median(r)))
+        assert m == pytest.approx(np.mean(r), rel=1e-9)
+        assert s == pytest.approx(999 * math.log(stats.huber_loss(np.array(r), stats.HUBER * mad).mean()) + 2 * c.k, rel=1e-9)
+
+
+def test_ranking_deals_rows_over_all_cores(spark, tmp_path):
+    """A file of one group of rows is one task of a scan, but not of each pass."""
+    spark.range(0, 2000, 1, 1).selectExpr("id as x", "id * 0.5D + id % 7 as y").write.parquet(str(tmp_path / "t"))
+    from loomfit.operators.points import points, spread_rows
+
+    pts = points(spark.read.parquet(str(tmp_path / "t")), "x", "y")
+    sizes = [r[0] for r in spread_rows(pts, 2000).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert pts.rdd.getNumPartitions() == 1 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 600
+
+
 def test_checks(wavy):
     f = ft.fit(wavy, "x", "y", 2)
     c = Checks(f).r_squared(0.9).residuals_normal(0.01).residuals_normal(0.01, strict=True).max_residual(1.0).matches(parse("-0.3 x^2 + 2 x + 1")).value_at(0.0, f.curve(0.0))
