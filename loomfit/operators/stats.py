@@ -123,7 +123,7 @@ def ranked(df: DataFrame, values: Values, m: int, n: int, ranks: tuple[int, int]
     """As by_rank, of m arrays made from each batch of rows.
 
     A sample proposes bins around each rank, an exact count says which of them holds
-    it (2 passes up to some 20 million rows). Once it holds at most ``gather`` values,
+    it (by its bins, one pass up to some 200 million rows). Once it holds at most ``gather`` values,
     or one value, they are sorted by the driver. All columns share each pass, each
     value is made once a pass, and none sorts or shuffles rows.
     """
